@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, token_counts
+from . import decontaminate, exact_dedup, near_dedup, pieces, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_simhash_near_dedup": near_dedup.op5_simhash_near_dedup,
 }
 
