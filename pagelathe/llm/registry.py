@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, pieces, quality, secrets, token_counts, toxicity
+from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,9 +10,10 @@ QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_simhash_near_dedup": near_dedup.op5_simhash_near_dedup,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_secrets": secrets.op7_secrets,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
 }
 
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op6_chat_formatting": chat.ORACLE}
