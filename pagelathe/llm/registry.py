@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, secrets, token_counts, toxicity
+from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, secrets, token_counts, toxicity, wrappers
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
+    "op10_html_extraction": wrappers.op10_html_extraction,
 }
 
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op6_chat_formatting": chat.ORACLE}
