@@ -119,13 +119,29 @@ class Items:
         for width, hashes in self.sorted.items():
             self.sieve[width] = np.zeros(1 << 20, bool)
             self.sieve[width][(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        # multi-index: (items of one length, block) -> changed value of the block -> items
-        self.index: dict[int, list[dict[int, list[int]]]] = {}
-        for at, (_, words) in enumerate(self.rows):
-            tables = self.index.setdefault(len(words), [defaultdict(list) for _ in range(16)])
-            for block, table in enumerate(tables):
-                for value in (self.prints[at, block] ^ _FLIPS).tolist():
-                    table[value].append(at)
+        # multi-index: for the items of one length and a block, every changed value in order, and its item
+        self.index: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        lengths = np.array([len(words) for _, words in self.rows])
+        for length in set(lengths.tolist()):
+            mine = np.flatnonzero(lengths == length).astype(np.int32)
+            self.index[length] = []
+            for block in range(16):
+                values = (self.prints[mine, block][:, None] ^ _FLIPS).ravel()
+                order = np.argsort(values, kind="stable")
+                self.index[length].append((values[order], np.repeat(mine, len(_FLIPS))[order]))
+
+    def near(self, length: int, prints: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(windows, items): pairs that agree in a block but for RADIUS_IN_BLOCK bits, of items that are wanted (a mask)."""
+        pairs = []
+        for block, (values, items) in enumerate(self.index[length]):
+            low, high = np.searchsorted(values, prints[:, block], "left"), np.searchsorted(values, prints[:, block], "right")
+            count = high - low
+            windows = np.repeat(np.arange(len(prints)), count)
+            found = items[np.arange(len(windows)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+            some = wanted[found]
+            pairs.append(windows[some] * len(wanted) + found[some])
+        both = np.unique(np.concatenate(pairs))
+        return both // len(wanted), both % len(wanted)
 
     def anchors(self, ids: np.ndarray) -> dict[int, list[int]]:
         """Positions of shared shingles for each item."""
@@ -154,6 +170,8 @@ class Items:
             inside = min(length, len(ids)) - width + 1
             last = max(0, len(ids) - length)
             best: dict[int, tuple[float, int]] = {}
+            mask = np.zeros(len(self.rows), bool)
+            mask[list(wanted)] = True
             near = np.unique(np.concatenate([np.arange(max(0, p - inside + 1), min(p, last) + 1) for places in wanted.values() for p in places] or [np.empty(0, np.int64)]))
             for first in range(0, len(near), 4096):
                 some = near[first : first + 4096]
@@ -164,19 +182,12 @@ class Items:
                     sums = np.zeros((len(mine) + 1, 256), np.int32)
                     np.cumsum(signs(mine), axis=0, dtype=np.int32, out=sums[1:])
                     prints = blocks_of(sums[inside:] - sums[:-inside])
-                    found = defaultdict(set)
-                    for block, table in enumerate(self.index[length]):
-                        for w, value in enumerate(prints[:, block].tolist()):
-                            for at in table.get(value, ()):
-                                if at in wanted:
-                                    found[at].add(w)
-                    for at, windows in found.items():
-                        windows = np.array(sorted(windows))
-                        apart = np.bitwise_count(prints[windows] ^ self.prints[at]).sum(1)
-                        for w in windows[apart < 16 * (RADIUS_IN_BLOCK + 1)].tolist():
-                            is_like = similarity(self.known[at], Counter(mine[w : w + inside].tolist()))
-                            if is_like >= SIMILARITY and is_like > best.get(at, (0.0, 0))[0]:
-                                best[at] = (is_like, low + w)
+                    windows, items = self.near(length, prints, mask)
+                    close = np.bitwise_count(prints[windows] ^ self.prints[items]).sum(1) < 16 * (RADIUS_IN_BLOCK + 1)
+                    for w, at in zip(windows[close].tolist(), items[close].tolist()):
+                        is_like = similarity(self.known[at], Counter(mine[w : w + inside].tolist()))
+                        if is_like >= SIMILARITY and is_like > best.get(at, (0.0, 0))[0]:
+                            best[at] = (is_like, low + w)
             for at, (is_like, start) in best.items():
                 yield self.rows[at][0], is_like, start, min(start + length, len(ids))
 
