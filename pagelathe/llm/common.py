@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return name.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark hand at most so many rows at once to Python workers: texts are long, and executors small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Tables of one run of an operator, under a fresh folder in the shared one.
 
@@ -32,6 +39,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

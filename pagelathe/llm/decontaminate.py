@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, whole_text
+from .common import Scratch, small_batches, whole_text
 
 WORDS, SIMILARITY, RADIUS_IN_BLOCK = 5, 0.8, 3
 WORD = re.compile(r"\w+")
@@ -39,7 +39,7 @@ RESULT = "doc_id long, item_id long, similarity double, start_word int, end_word
 class _Ids(dict):
     """64-bit numbers of words; forgets all of them when it has held `most`."""
 
-    most = 1 << 19
+    most = 1 << 17
 
     def __missing__(self, word: str) -> int:
         import xxhash
@@ -210,6 +210,7 @@ def search_in(items: Items):
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int = 1000, block_chars: int = 4_000_000) -> DataFrame:
     """Rows (RESULT): where an item, or a text of similarity 0.8 or more to it, stands in a document."""
+    small_batches(spark)
     out = spark.createDataFrame([], RESULT)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     held: list[tuple[int, str]] = []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text
+from .common import small_batches, whole_text
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START, BEST = "▁", 4
@@ -324,7 +324,7 @@ def decoder(path: str = VOCABULARY):
     return decode
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, n: int = BEST, held: int = 250_000) -> DataFrame:
+def encode(docs: DataFrame, path: str = VOCABULARY, n: int = BEST, held: int = 100_000) -> DataFrame:
     """Rows (SCHEMA) for the rows (doc_id, text) of docs. `held` words at most stay known between texts."""
     others = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 
@@ -357,6 +357,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, n: int = BEST, held: int = 2
                     yield some(v, doc_ids[first : at + 1], held_texts)
                     first, chars, held_texts = at + 1, 0, []
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, SCHEMA)
 
 

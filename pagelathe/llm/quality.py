@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, is_among, open_folder, sorted_ids, whole_text
 
-ORDER, QUANTILE, SLACK, LEAST, PRIOR, SHARD = 5, 0.99, 1.1, 100, 50, 4_000_000
+ORDER, QUANTILE, SLACK, LEAST, PRIOR, SHARD = 5, 0.99, 1.1, 100, 50, 2_000_000
 BEGIN = "\x02"
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,7 +59,7 @@ def keys_at(chars: np.ndarray, ends: np.ndarray | None, length: int, kind: int)
 
 
 def count_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas: (text) to (gram, n), distinct within a million grams or more of one task."""
+    """For mapInPandas: (text) to (gram, n), distinct within some hundred thousand grams of one task."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -88,13 +88,13 @@ def count_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(c):
                 chars.append(c)
                 length += len(c)
-            if length > 1 << 20:
+            if length > 1 << 19:
                 add(chars)
                 chars, length = [], 0
-                if size > 1 << 20:
+                if size > 1 << 19:
                     held = [merged(held)]
                     size = len(held[0][0])
-                    if size > 3 << 18:
+                    if size > 3 << 17:
                         yield out(held[0])
                         held, size = [], 0
     if chars:
