@@ -88,7 +88,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def same(part: DataFrame):
         return mine["__text_sha"].eqNullSafe(part["__sha"]) & mine["doc_id"].cast("long").eqNullSafe(part["__id"])
 
-    once = mine.join(verdict, same(verdict), "left_anti").select(*[mine[c] for c in docs.columns])
+    # a sort-merge join at every size: what must go grows with the input
+    once = mine.join(verdict.hint("merge"), same(verdict), "left_anti").select(*[mine[c] for c in docs.columns])
     repeated = verdict.where("__kept")
     if repeated.isEmpty():
         return once
