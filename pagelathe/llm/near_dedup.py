@@ -12,6 +12,15 @@ The links then go through large-star/small-star rounds until each document has t
 Defined results. Null and blank texts have fingerprint zero and are linked like any other. Fewer words than a
 shingle are one shingle. Rows without doc_id get a fingerprint and, alone in their component, a null component_id;
 otherwise the component of their fingerprint. Repeated rows are each reported. Other columns are ignored.
+
+The pipeline's stage, `one_of_each`, has figures of its own: two texts are linked exactly if their sets of five-word
+shingles have a Jaccard similarity of 0.8. At that radius blocks of bits no longer tell fingerprints apart, so it is
+shingles that candidates meet by. In any one order of all shingles, two such sets share one of their first
+n - ceil(0.8 n) + 1, and these prefixes, with the shingles that are rare in a sample first, are what a text is dealt out by;
+the sample changes how many meet, never what is found. Those that meet are compared by a SimHash of 128 bits with a
+radius of 48, which is 5 standard deviations beyond what 0.8 makes of sets of any size, and what is left is verified on
+the texts. Where more than `crowd` texts have a least shingle in common, they are first linked to the least of them, also
+verified; texts of one component are not compared again.
 """
 
 from __future__ import annotations
@@ -21,13 +30,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, runs_equal, whole_text
+from .common import Scratch, is_among, open_folder, runs_equal, sorted_ids, whole_text
+from .decontaminate import numbers, shingles
 
 RADIUS = 4
+WORDS, WIDE_RADIUS, SAMPLE, COMMON = 5, 48, 10_000, 2  # the stage's; similarity 0.8 is written as 4 of 5
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -249,8 +260,185 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct five-word shingles of a text, as ascending hashes; fewer words are one shingle, none are none."""
+    ids = numbers(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split())
+    return np.unique(shingles(ids, min(WORDS, len(ids)))) if len(ids) else np.empty(0, np.uint64)
+
+
+def mixed(hashes: np.ndarray, no: int) -> np.ndarray:
+    x = hashes + np.uint64(0xD1B54A32D192ED03 * (no + 1) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set, as two numbers."""
+    ones = np.zeros(128, np.int32)
+    for at in range(0, len(hashes), 1 << 14):
+        some = hashes[at : at + (1 << 14)]
+        ones += np.unpackbits(np.stack([mixed(some, 0), mixed(some, 1)], 1).view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(hashes)).view(np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of 0.8 or more."""
+    if min(len(a), len(b)) * 5 < max(len(a), len(b)) * 4:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+@F.pandas_udf(T.BooleanType())
+def alike_texts(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([alike(shingle_set(x), shingle_set(y)) for x, y in zip(a, b)], dtype=bool)
+
+
+def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        yield pd.DataFrame({"shingle": np.concatenate([np.empty(0, np.uint64), *map(shingle_set, part["text"])]).view(np.int64)})
+
+
+def described(common: str):
+    """A function for mapInPandas: (doc_id, text) to what the stage needs of a set; common is the folder of the sample's counts."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.dataset as ds
+
+        system, path = open_folder(common)
+        table = ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False)
+        known, often = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if "shingle" in table.schema.names:
+            rows = table.to_table(columns=["shingle", "n"])
+            known, often = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+            order = np.argsort(known)
+            known, often = known[order], often[order]
+        for part in parts:
+            out = []
+            for doc_id, text in zip(part["doc_id"], part["text"]):
+                found = shingle_set(text)
+                n = len(found)
+                total = int(mixed(found, 2).sum(dtype=np.uint64)) if n else 0
+                first, second = wide_print(found).view(np.int64).tolist()
+                ordered = found
+                if len(known) and n:
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    ordered = found[np.argsort(np.where(known[at] == found, often[at], 0), kind="stable")]
+                prefix = ordered[: n - -(-4 * n // 5) + 1] if n else ordered
+                least = [int(mixed(found, k).min().view(np.int64)) for k in (3, 4, 5)] if n else []
+                out.append((doc_id, n, total - (1 << 64) if total >> 63 else total, first, second, prefix.view(np.int64), least))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "total", "first", "second", "prefix", "least"])
+
+    return run
+
+
+def meeting(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas: rows (key, rep, component, n, first, second) with equal keys in a row to pairs (a, b) to be verified."""
+
+    def near(x: list[np.ndarray], i, j) -> np.ndarray:
+        rep, component, n, first, second = x
+        size = np.minimum(n[i], n[j]) * 5 >= np.maximum(n[i], n[j]) * 4
+        return size & (component[i] != component[j]) & (np.bitwise_count(first[i] ^ first[j]) + np.bitwise_count(second[i] ^ second[j]) <= WIDE_RADIUS)
+
+    def pairs(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        key = part["key"].to_numpy()
+        x = [part[c].to_numpy(np.int64) for c in ("rep", "component", "n")] + [part[c].to_numpy(np.int64).view(np.uint64) for c in ("first", "second")]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[starts, len(key)])
+
+        def out(i, j) -> pd.DataFrame:
+            a, b = x[0][i], x[0][j]
+            return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+        few = np.flatnonzero(np.repeat(size <= 256, size))
+        for i, j in runs_equal(key[few]):
+            i, j = few[i], few[j]
+            ok = near(x, i, j)
+            if ok.any():
+                yield out(i[ok], j[ok])
+        for start, n in zip(starts[size > 256].tolist(), size[size > 256].tolist()):
+            component = x[1][start : start + n]
+            names, count = np.unique(component, return_counts=True)
+            largest = component == names[count.argmax()]
+            # those of the largest component first: only the others need a look at all before them
+            order = start + np.r_[np.flatnonzero(largest), np.flatnonzero(~largest)]
+            for at in range(int(largest.sum()), n):
+                i = order[:at]
+                ok = near(x, i, order[at])
+                if ok.any():
+                    yield out(i[ok], np.full(int(ok.sum()), order[at]))
+
+    held: list[pd.DataFrame] = []
+    rows, most = 0, 1 << 16
+    for part in parts:
+        held.append(part)
+        rows += len(part)
+        if rows < most:
+            continue
+        whole = pd.concat(held, ignore_index=True)
+        end = int(np.flatnonzero((whole["key"] != whole["key"].iloc[-1]).to_numpy())[-1:].sum() + 1) if whole["key"].iloc[0] != whole["key"].iloc[-1] else 0
+        if end:
+            yield from pairs(whole[:end])
+        held, rows = [whole[end:]], len(whole) - end
+        most = max(1 << 16, 2 * rows)
+    if rows:
+        yield from pairs(pd.concat(held, ignore_index=True))
+
+
+def verified(found: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose texts (doc_id, text) are alike."""
+    found = scratch.keep(found.distinct(), f"{name}_pairs")
+    ids = sorted_ids(found.select(F.explode(F.array("a", "b")).alias("id")), scratch, f"{name}_ids")
+    some = scratch.keep(texts.where(is_among(ids)("doc_id")), f"{name}_texts")
+    both = found.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+    out = scratch.keep(both.where(alike_texts("a_text", "b_text")).select("a", "b").distinct(), f"{name}_links")
+    scratch.drop(f"{name}_texts")
+    return out
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, crowd: int = 64) -> DataFrame:
+    """(doc_id, component_id) of the rows of docs with a doc_id: the least doc_id that links of similarity 0.8 lead to."""
+    scratch = Scratch(spark, "near")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).where("doc_id is not null")
+    every = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    scratch.keep(sample.mapInPandas(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON), "common")
+    sets = scratch.keep(texts.mapInPandas(described(scratch.path("common")), "doc_id long, n int, total long, first long, second long, prefix array<long>, least array<long>"), "sets")
+    same = ["n", "total", "first", "second"]
+    distinct = scratch.keep(sets.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")), "distinct")
+    # arrays are left where they are: what is moved is the rows that are not their set's first
+    twice = scratch.keep(sets.select("doc_id", *same).join(distinct.where("rep <> other"), same).where("doc_id <> rep").select("doc_id", *same).distinct(), "twice")
+    firsts = sets.join(twice, ["doc_id", *same], "left_anti").withColumnRenamed("doc_id", "rep")
+    edges, owner = None, None
+    stars = firsts.select("rep", F.posexplode("least").alias("no", "key"))
+    centres = scratch.keep(stars.groupBy("no", "key").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where(F.col("n") > crowd).drop("n"), "centres")
+    if not centres.isEmpty():
+        edges = verified(stars.join(centres, ["no", "key"]).where("rep <> b").select(F.col("rep").alias("a"), "b"), texts, scratch, "stars")
+        if edges.isEmpty():
+            edges = None
+        else:
+            owner = scratch.keep(components(edges, scratch).select(F.col("node").alias("rep"), "component"), "known")
+    by_key = Window.partitionBy("key")
+    dealt = firsts.select(F.explode("prefix").alias("key"), "rep")
+    shared = scratch.keep(dealt.withColumns({"low": F.min("rep").over(by_key), "high": F.max("rep").over(by_key)}).where("low <> high").select("key", "rep").distinct(), "shared")
+    facts = firsts.select("rep", "n", "first", "second").distinct()
+    facts = facts.withColumn("component", F.col("rep")) if owner is None else facts.join(owner, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    full = shared.join(facts, "rep").select("key", "rep", "component", "n", "first", "second")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = full.repartition(n, "key").sortWithinPartitions("key").mapInPandas(meeting, "a long, b long")
+    met = verified(pairs, texts, scratch, "met")
+    edges = met if edges is None else edges.union(met)
+    if edges.isEmpty():
+        owners = distinct.select(*same, F.col("rep").alias("component_id"))
+    else:
+        found = scratch.keep(components(edges, scratch), "found")
+        owners = distinct.join(found, distinct["rep"] == found["node"], "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    return sets.select("doc_id", *same).join(owners, same).select("doc_id", "component_id")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with its least doc_id; rows without doc_id stay."""
+    """docs with one document of each component of near_copies: that with its least doc_id; rows without doc_id stay."""
     scratch = Scratch(spark, "simhash")
-    gone = scratch.keep(near_dedup(spark, docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = scratch.keep(near_copies(spark, docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -87,3 +87,51 @@ def test_near_edges(spark):
     assert out == [(0, None), (1, 1), (2, 1), (3, 3), (4, 3), (4, 3)]
     assert sorted(r.doc_id or 0 for r in near_dedup.one_of_each(spark, docs).collect()) == [0, 1, 3]
     assert near_dedup.near_dedup(spark, docs.limit(0)).count() == 0
+
+
+def brute_near_copies(texts):
+    def grams(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {i: grams(t) for i, t in texts.items()}
+    owner = {i: i for i in texts}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in combinations(texts, 2):
+            if owner[a] != owner[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                owner[a] = owner[b] = min(owner[a], owner[b])
+                changed = True
+    return owner
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_stage_links_at_similarity(spark, crowd):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = {}
+    for i in range(120):
+        if i % 4 == 0:
+            now = list(rng.choice(words, int(rng.integers(3, 150))))
+        else:
+            now = list(now)
+            for _ in range(int(rng.integers(0, 3))):
+                now[int(rng.integers(0, len(now)))] = str(rng.choice(words))
+        texts[i] = " ".join(now)
+    # a crowd round one text, and one with a shared line only
+    base = list(rng.choice(words, 200))
+    for i in range(120, 420):
+        texts[i] = " ".join(base[: (i * 7) % 200] + [f"x{i}"] + base[(i * 7) % 200 :]) if i < 300 else " ".join(base[:12] + list(rng.choice(words, 30)))
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in texts.items()], FIELDS)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_copies(spark, docs, crowd).collect()}
+    want = brute_near_copies(texts)
+    assert got == want and 0 < sum(i != c for i, c in want.items()) < len(want)
+
+
+def test_stage_drops_near_copies(spark):
+    words = [f"w{i}" for i in range(100)]
+    copy = words[:40] + ["other"] + words[41:70] + ["more"] + words[71:]
+    far = [f"w{i * 37 % 100}" for i in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words), "", ""), (2, " ".join(copy), "", ""), (3, " ".join(far), "", "")], FIELDS)
+    assert sorted(r.doc_id for r in near_dedup.one_of_each(spark, docs).collect()) == [1, 3]
