@@ -7,9 +7,11 @@ computed from the lowest order up by joins on contexts and suffixes, sharded by
 probabilities and back-off weights, which grows with the text it was made from, is written in shards by key; a task
 looks up the grams of its texts shard by shard and holds one shard of bounded size at a time, so that neither texts
 nor table are shuffled or broadcast for scoring. A tenth of the trusted documents, by their doc_id, is kept out of the
-counts and sets the bounds: a language's bound is the `QUANTILE` of theirs in that language (of all, for languages
-with fewer than `LEAST` of them), times `SLACK`. What is compared is the perplexity drawn towards its language's mean
-as if `PRIOR` more characters had it, as that of a few words says little.
+counts and sets the bounds: a language's bound is the `QUANTILE` of theirs in that language, times `SLACK`. Means and
+bounds of a language with n of them are drawn towards those of all as if `DRAW` of n + `DRAW` were the latter, so that
+few of them count for less but there is no number from which on they count. What is compared is the perplexity drawn
+towards its language's mean as if `PRIOR` more characters had it, as that of a few words says little. Documents of a
+language without any trusted document are kept, with a null threshold.
 
 Defined results. White space runs count as one space. Null and blank texts have a null perplexity and are kept. A
 null language is a language. Documents without doc_id are scored like others but never trusted; a doc_id that is
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, is_among, open_folder, sorted_ids, whole_text
 
-ORDER, QUANTILE, SLACK, LEAST, PRIOR, SHARD = 5, 0.99, 1.1, 100, 50, 2_000_000
+ORDER, QUANTILE, SLACK, DRAW, PRIOR, SHARD = 5, 0.99, 1.1, 10, 50, 2_000_000
 BEGIN = "\x02"
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -288,23 +290,31 @@ def kept_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
 
 
-def judged(scored: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
-    """scored (lang, perplexity, length and more) with `threshold` and `keep`, by the trusted rows (the same columns)."""
+def judged(scored: DataFrame, trusted: DataFrame, languages: DataFrame, scratch: Scratch) -> DataFrame:
+    """scored (lang, perplexity, length and more) with `threshold` and `keep`, by the trusted rows kept out (the same columns).
+
+    languages (lang): those of all trusted documents, kept out or not.
+    """
     named = F.coalesce("lang", F.lit("und"))
     known = trusted.where("perplexity is not null").select(named.alias("of"), F.log("perplexity").alias("log"), "length")
     if (overall := known.agg(F.avg("log").alias("mean")).first()["mean"]) is None:
         return scored.withColumns({"threshold": F.lit(None).cast("double"), "keep": F.lit(True)})
-    means = known.groupBy("of").agg(F.avg("log").alias("own"), F.count("*").alias("n")).where(F.col("n") >= LEAST).select("of", "own")
+
+    def shrunk(own: Column, pooled: float) -> Column:
+        return (F.col("n") * own + DRAW * pooled) / (F.col("n") + DRAW)
 
     def drawn(log: Column) -> Column:
-        return F.exp((F.col("length") * log + PRIOR * F.coalesce("own", F.lit(overall))) / (F.col("length") + PRIOR))
+        return F.exp((F.col("length") * log + PRIOR * F.col("own")) / (F.col("length") + PRIOR))
 
-    known = scratch.keep(known.join(means, "of", "left").select("of", "own", drawn(F.col("log")).alias("x")), "bounds")
+    means = known.groupBy("of").agg(F.avg("log").alias("mean"), F.count("*").alias("n")).select("of", "n", shrunk(F.col("mean"), overall).alias("own"))
+    known = scratch.keep(known.join(means, "of").select("of", "n", "own", drawn(F.col("log")).alias("x")), "bounds")
     bound = F.percentile_approx("x", QUANTILE, 10000) * SLACK
     general = known.agg(bound.alias("x")).first()["x"]
-    bounds = known.groupBy("of").agg(F.first("own").alias("own"), bound.alias("bound")).where("own is not null")
-    out = scored.join(bounds, named == F.col("of"), "left").withColumn("threshold", F.coalesce("bound", F.lit(general)))
-    return out.withColumn("keep", F.coalesce(drawn(F.log("perplexity")) <= F.col("threshold"), F.lit(True))).drop("of", "own", "bound")
+    bounds = known.groupBy("of").agg(F.first("own").alias("own"), F.first("n").alias("n"), bound.alias("bound"))
+    bounds = bounds.select("of", "own", F.exp(shrunk(F.log("bound"), float(np.log(general)))).alias("threshold"))
+    every = scratch.keep(languages.select(named.alias("of")).distinct().join(bounds, "of", "left").select("of", F.coalesce("own", F.lit(overall)).alias("own"), F.coalesce("threshold", F.lit(general)).alias("threshold")), "languages")
+    out = scored.join(every, named == F.col("of"), "left")
+    return out.withColumn("keep", F.coalesce(drawn(F.log("perplexity")) <= F.col("threshold"), F.lit(True))).drop("of", "own")
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -315,7 +325,8 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFram
     model = train(read.where(is_among(ids)("doc_id") & ~kept_out()).select("text"), scratch)
     score = model.column() if model else F.lit(None).cast("double")
     scored = scratch.keep(read.select("doc_id", "lang", score.alias("perplexity"), F.length("text").alias("length")), "scores")
-    return judged(scored, scored.where(kept_out() & is_among(ids)("doc_id")), scratch).drop("length")
+    languages = read.where(is_among(ids)("doc_id")).select("lang")
+    return judged(scored, scored.where(kept_out() & is_among(ids)("doc_id")), languages, scratch).select("doc_id", "lang", "perplexity", "threshold", "keep")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,4 +344,5 @@ def drop_poor(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     facts = [docs["lang"].cast("string").alias("lang"), model.column().alias("perplexity"), F.length(whole_text()).alias("length")]
     known = scratch.keep(docs.where(kept_out() & trusted).select(*facts), "known")
     scored = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *facts)
-    return judged(scored, known, scratch).where("keep").select("row.*")
+    languages = docs.where(trusted).select(docs["lang"].cast("string").alias("lang"))
+    return judged(scored, known, languages, scratch).where("keep").select("row.*")

@@ -115,6 +115,20 @@ def test_quality_and_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in got) and sum(p == t for p, t in held) >= 0.9 * len(held)
 
 
+def test_quality_bounds_of_small_languages(spark):
+    from pagelathe.llm.common import Scratch
+
+    rows = [("en", 5.0 + i % 10 / 10, 1000) for i in range(200)] + [(lang, 9.0 + i % 10 / 10, 1000) for lang, n in (("de", 99), ("fr", 100), ("es", 20)) for i in range(n)]
+    known = spark.createDataFrame(rows, "lang string, perplexity double, length int")
+    asked = spark.createDataFrame([(lang, x, 1000) for lang in ("en", "de", "fr", "es", "nl", "it") for x in (9.0, 30.0)], "lang string, perplexity double, length int")
+    languages = spark.createDataFrame([(x,) for x in ("en", "de", "fr", "es", "nl")], "lang string")
+    out = quality.judged(asked, known, languages, Scratch(spark, "t")).collect()
+    bound = {r.lang: r.threshold for r in out}
+    assert bound["en"] < 7 and bound["es"] > 10 and abs(bound["de"] - bound["fr"]) < 0.01 and bound["it"] is None and bound["nl"] is not None
+    kept = {(r.lang, r.perplexity) for r in out if r.keep}
+    assert ("en", 9.0) not in kept and ("es", 9.0) in kept and ("it", 30.0) in kept and ("de", 30.0) not in kept and ("nl", 30.0) not in kept
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], FIELDS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
