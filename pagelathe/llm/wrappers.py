@@ -98,6 +98,13 @@ def label_of(tag: str, attrs: str) -> str:
     return found
 
 
+def slot_of(before: str | None, text: str) -> str:
+    """The text slot of an element after one more block: a hash of all of them, however long."""
+    import xxhash
+
+    return xxhash.xxh3_128_hexdigest(((before or "") + "\n" + text).encode("utf-8", "surrogatepass"))
+
+
 def tag_of(label: str) -> str:
     return label.lstrip("!^=~-").partition(".")[0]
 
@@ -120,7 +127,7 @@ def read_page(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
                 n = min(linked, len(text))
                 node.chars += len(text)
                 node.links += n
-                node.same = text[:80] if node.same is None else node.same + "\n" + text[:80] if len(node.same) < 200 else node.same
+                node.same = slot_of(node.same, text)
                 blocks.append((node, text, n))
             linked = 0
 

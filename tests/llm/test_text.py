@@ -148,6 +148,18 @@ def test_wrappers(spark):
     assert out[20] == out[21] == ("", 0) and out[23][0] == "only this" and out[None][0].startswith("Head n")
 
 
+def test_wrapper_slots_hold_whole_texts(spark):
+    same = "Stockholm, from our own correspondent, in the service of the agency of the north, today: "
+    page = "<body><div class=top><a href=/a>a</a></div><div id=body><h1>Head {0}</h1><div class=lede>{1}the lede of {0}</div><div class=long>{1}{1}{1}{0} ends it</div><div class=stays>{1}</div></div>"
+    rows = [(i, "http://g.com/y", page.format(i, same)) for i in range(6)]
+    assert len(same) > 80
+    out = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "the lede of 3" in out[3] and "3 ends it" in out[3] and out[3].startswith("Head 3")
+    assert out[3].count(same.strip()) == 4  # without what stays
+    one, two = (wrappers.read_page(f"<div>{same}<nav>n</nav>{same}<nav>n</nav>{same}<nav>n</nav>{same}{x}</div>")[0].kids[0].same for x in "ab")
+    assert one != two and len(one) == len(two) == 32
+
+
 def test_wrapper_alignment():
     def wrapper(html):
         return wrappers.generalised(wrappers.read_page(html)[0])
