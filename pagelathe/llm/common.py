@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,18 +18,56 @@ from pyspark.sql import types as T
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; only where it is unset (tests on one machine) a temporary one."""
     name = spark.conf.get("spark.checkpoint.dir", None)
+    if not name and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not name:
         name = "file://" + tempfile.mkdtemp(prefix="pagelathe-")
         spark.conf.set("spark.checkpoint.dir", name)
         atexit.register(shutil.rmtree, name.removeprefix("file://"), True)
-    return name.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(name)  # with its scheme, so that Spark and pyarrow take it for the same
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Has Spark hand at most so many rows at once to Python workers: texts are long, and executors small."""
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
+    """Has Spark hand at most so many rows, and bytes of longer texts, at once to Python workers: executors are small.
+
+    Both are settings of the session; one that is lower already stays.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark.conf.get(name).strip().lower().removesuffix("b")
+    if not known.isdigit() or not 0 < int(known) <= megabytes << 20:
+        spark.conf.set(name, str(megabytes << 20))
+
+
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system, as workers stay for later tasks and stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """run (over the batches of a task), after which caches are emptied by `forget` and memory is given back."""
+
+    def over(parts: Iterator) -> Iterator:
+        try:
+            yield from run(parts)
+        finally:
+            for f in forget:
+                f()
+            give_back()
+
+    return over
 
 
 class Scratch:
@@ -68,7 +107,23 @@ def open_folder(uri: str):
     """A pyarrow file system and the path in it, for use in Python workers."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else uri.replace("file:", "file://", 1))
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    if "://" not in uri:
+        raise ValueError(f"a folder without scheme: {uri}")
+    return fs.FileSystem.from_uri(uri)
+
+
+def slices(texts: list[str], chars: int) -> Iterator[slice]:
+    """Neighbouring texts of at most so many characters together, or single longer ones."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text) > chars:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(text)
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 def sorted_ids(df: DataFrame, scratch: Scratch, name: str) -> str:
@@ -77,30 +132,47 @@ def sorted_ids(df: DataFrame, scratch: Scratch, name: str) -> str:
     return scratch.path(name)
 
 
-def is_among(uri: str) -> Column:
+def is_among(uri: str, held: int = 2_000_000, ahead: int = 50_000) -> Column:
     """A UDF that tells whether an id is in the sorted table at uri.
 
-    Row groups are pruned by the ids of the batch and read one at a time, so that memory stays bounded
-    however long the table is, and neither side is shuffled or broadcast.
+    A table of at most `held` ids is read once a task. Of a longer one the row groups are read, one at a time, that some
+    `ahead` rows' ids fall in. So memory stays bounded however long the table is, and neither side is shuffled or broadcast.
     """
 
-    @F.pandas_udf(T.BooleanType())
-    def among(ids: pd.Series) -> pd.Series:
+    def answers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import pyarrow.dataset as ds
 
-        out = np.zeros(len(ids), bool)
-        known = ids.notna().to_numpy()
-        if known.any():
+        system, path = open_folder(uri)
+        table = ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False)
+        empty = "id" not in table.schema.names
+        whole = None if empty or table.count_rows() > held else np.sort(table.to_table(columns=["id"]).column(0).to_numpy())
+
+        def answer(ids: pd.Series) -> pd.Series:
+            out = np.zeros(len(ids), bool)
+            known = ids.notna().to_numpy()
             want = ids[known].to_numpy(np.int64)
-            found = np.zeros(len(want), bool)
-            system, path = open_folder(uri)
-            table = ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False)
-            if "id" in table.schema.names:
+            if whole is not None and len(whole):
+                out[known] = whole[np.minimum(np.searchsorted(whole, want), len(whole) - 1)] == want
+            elif whole is None and not empty and len(want):
+                found = np.zeros(len(want), bool)
                 near = (ds.field("id") >= int(want.min())) & (ds.field("id") <= int(want.max()))
                 for part in table.to_batches(columns=["id"], filter=near, batch_size=1 << 17):
                     found |= np.isin(want, part.column(0).to_numpy())
-            out[known] = found
-        return pd.Series(out)
+                out[known] = found
+            return pd.Series(out)
+
+        waiting: list[pd.Series] = []
+        for ids in parts:
+            waiting.append(ids)
+            if whole is not None or sum(map(len, waiting)) >= ahead:
+                yield answer(pd.concat(waiting, ignore_index=True))
+                waiting = []
+        if waiting:
+            yield answer(pd.concat(waiting, ignore_index=True))
+
+    @F.pandas_udf(T.BooleanType())
+    def among(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(answers)(parts)
 
     return among
 

@@ -115,7 +115,6 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and n_tokens of every document."""
     scratch = Scratch(spark, "tokens")
     folder = scratch.path("flat")
-    folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
     manifest = write_flat(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, scratch)
     counts = count_tokens(manifest.select("file"), folder, scratch)
     return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
