@@ -4,13 +4,17 @@ A text becomes U+2581 for its start and for each space, and is segmented into pi
 a segmentation's score is the sum of its pieces' scores. Characters that are in no piece, and U+2581 itself, become
 the byte pieces of their UTF-8, so that decoding gives back every text exactly.
 
-No piece crosses a word start, so the lattice of a text is a chain of the lattices of its words. Of each word the
+No piece crosses a word start, so the lattice of a text is a chain of the lattices of its words; words of more than
+LONG characters (CJK, base64) are cut further where no piece of the vocabulary crosses. Of each word the
 best segmentation and the loss of the second best are found by Viterbi passes (forward and backward, vectorised
 over words of one length): the second best is the best path through an edge off the best path. In the N best of a
 text only those words can differ from their best whose loss is among the N - 1 least; for those the N best are
 searched by A* from the end of the word, whose exact heuristics are the forward Viterbi scores. They are then
 combined to the N best of the whole text.
 
+The scores are those that the vocabulary states. In a BPE vocabulary these are merge ranks, so that the segmentation of
+the best score is not the one that merging would give.
+
 Defined results. Null and empty texts have no pieces, one segmentation and score 0. Of segmentations of equal score
 each counts; which come first is fixed but not defined. Lone surrogates cannot occur in a Spark string. Repeated
 rows are each encoded.
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, whole_text
+from .common import slices, small_batches, tidy, whole_text
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-START, BEST = "▁", 4
+START, BEST, LONG = "▁", 4, 64
 OWN = "\ud800"  # stands for a START of the text itself: no Spark string holds a lone surrogate
 NONE = -1e300
 SCHEMA = "doc_id long, n_pieces long, ids array<int>, score double, others array<struct<score:double,changes:array<struct<first:int,after:int,ids:array<int>>>>>, round_trip boolean"
@@ -116,38 +121,36 @@ class Vocabulary:
 
     # one word, any length
 
-    def edges(self, word: str, i: int) -> list[tuple[int, float, tuple[int, ...]]]:
-        """(end, score, ids) of what may start at i."""
-        out = []
-        for j in range(i + 1, min(len(word), i + self.longest) + 1):
+    def edges(self, word: str, j: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
+        """(start, score, ids) of what may end at j."""
+        for i in range(max(0, j - self.longest), j):
             s = self.score.get(word[i:j])
             if s is not None:
-                out.append((j, s, (self.id[word[i:j]],)))
-        if word[i] not in self.score:
-            data = (START if word[i] == OWN else word[i]).encode()
-            out.append((i + 1, sum(self.byte_score[b] for b in data), tuple(self.byte[b] for b in data)))
-        return out
-
-    def forward(self, word: str) -> tuple[list[float], list[list]]:
-        """Viterbi scores of the prefixes, and the edges that end at each place."""
-        best = [0.0] + [NONE] * len(word)
-        into: list[list] = [[] for _ in range(len(word) + 1)]
-        for i in range(len(word)):
-            if best[i] > NONE:
-                for j, s, ids in self.edges(word, i):
-                    into[j].append((i, s, ids))
-                    if best[i] + s > best[j]:
-                        best[j] = best[i] + s
-        return best, into
+                yield i, s, (self.id[word[i:j]],)
+        if word[j - 1] not in self.score:
+            data = (START if word[j - 1] == OWN else word[j - 1]).encode()
+            yield j - 1, sum(self.byte_score[b] for b in data), tuple(self.byte[b] for b in data)
+
+    def forward(self, word: str) -> array:
+        """Viterbi scores of the prefixes."""
+        best = array("d", [NONE]) * (len(word) + 1)
+        best[0] = 0.0
+        for j in range(1, len(word) + 1):
+            best[j] = max(best[i] + s for i, s, _ in self.edges(word, j))
+        return best
 
     def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a word, by A* from its end."""
-        best, into = self.forward(word)
+        """The n best segmentations of a word, by A* from its end.
+
+        As the heuristics are exact, each entry stands for a segmentation of just its score and no two for the same, so
+        that no more entries need to be held than segmentations are still wanted; edges are found again where needed.
+        """
+        best = self.forward(word)
         turn = 0
-        heap: list[tuple] = [(-best[-1], len(word), turn, 0.0, None)]
+        heap: list[tuple] = [(-best[-1], turn, len(word), 0.0, None)]
         out: list[tuple[float, list[int]]] = []
         while heap and len(out) < n:
-            _, at, _, behind, path = heapq.heappop(heap)
+            _, _, at, behind, path = heapq.heappop(heap)
             if not at:
                 ids: list[int] = []
                 while path:
@@ -155,9 +158,34 @@ class Vocabulary:
                     path = path[1]
                 out.append((behind, ids))
                 continue
-            for i, s, ids in into[at]:
+            for i, s, ids in self.edges(word, at):
                 turn += 1
-                heapq.heappush(heap, (-(best[i] + s + behind), i, turn, behind + s, (ids, path)))
+                heapq.heappush(heap, (-(best[i] + s + behind), turn, i, behind + s, (ids, path)))
+            if len(heap) > n - len(out):
+                heap = heapq.nsmallest(n - len(out), heap)
+        return out
+
+    def cut(self, word: str) -> list[str]:
+        """A long word cut wherever no piece crosses: the lattice is the chain of its parts' lattices."""
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out, first, open_until = [], 0, 0  # open_until: the furthest end of a piece that has begun
+        for at in range(0, len(chars), 1 << 15):
+            some = chars[at : at + (1 << 15) + self.longest].astype(np.uint64)
+            n = min(1 << 15, len(chars) - at)
+            reach = np.arange(1, n + 1)
+            h = np.zeros(n, np.uint64)
+            for k in range(1, self.longest + 1):
+                m = min(n, len(some) - k + 1)
+                if m <= 0:
+                    break
+                h = self._step(h[:m], some[k - 1 : k - 1 + m])
+                found = self._look_up(h) >= 0
+                reach[:m][found] = np.flatnonzero(found) + k
+            furthest = np.maximum.accumulate(np.maximum(reach + at, open_until))
+            for end in (np.flatnonzero(furthest == np.arange(at + 1, at + n + 1)) + at + 1).tolist():
+                out.append(word[first:end])
+                first = end
+            open_until = int(furthest[-1])
         return out
 
     def ranked(self, word: str, n: int) -> list[tuple[float, list[int]]]:
@@ -266,7 +294,10 @@ class Vocabulary:
         """The words of a text with START for spaces; a START of the text itself becomes OWN."""
         if not text:
             return []
-        return self.words.findall(START + text.replace(START, OWN).replace(" ", START))
+        words = self.words.findall(START + text.replace(START, OWN).replace(" ", START))
+        if len(max(words, key=len)) > LONG:
+            words = [part for w in words for part in (self.cut(w) if len(w) > LONG else (w,))]
+        return words
 
     def encode(self, text: str, n: int = BEST) -> tuple[np.ndarray, float, list]:
         """(ids, score, others): the best segmentation, and the next n - 1 as changes (first, after, ids) of it."""
@@ -324,13 +355,13 @@ def decoder(path: str = VOCABULARY):
     return decode
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, n: int = BEST, held: int = 100_000) -> DataFrame:
-    """Rows (SCHEMA) for the rows (doc_id, text) of docs. `held` words at most stay known between texts."""
+def encode(docs: DataFrame, path: str = VOCABULARY, n: int = BEST, held: int = 200_000) -> DataFrame:
+    """Rows (SCHEMA) for the rows (doc_id, text) of docs. A worker keeps some `held` words at most, some 40 MB, from task to task."""
     others = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 
     def some(v: Vocabulary, doc_ids: list, texts: list[str]) -> pa.RecordBatch:
         split = [v.split(t) for t in texts]
-        if len(v.known) > held:
+        if len(v.known) > held or len(v.searched) > held:
             v.forget()
         best, scores, more, right = [np.empty(0, np.int32)], [], [], []
         for text, (ids, score, rest) in zip(texts, v.encode_all(split, n)):
@@ -348,17 +379,12 @@ def encode(docs: DataFrame, path: str = VOCABULARY, n: int = BEST, held: int = 1
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for part in parts:
-            doc_ids, texts = part.column(0).to_pylist(), part.column(1)
-            first, chars, held_texts = 0, 0, []
-            for at in range(len(texts)):
-                held_texts.append(texts[at].as_py())
-                chars += len(held_texts[-1])
-                if chars >= 2_000_000 or at == len(texts) - 1:
-                    yield some(v, doc_ids[first : at + 1], held_texts)
-                    first, chars, held_texts = at + 1, 0, []
+            doc_ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for at in slices(texts, 1_000_000):
+                yield some(v, doc_ids[at], texts[at])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(tidy(run), SCHEMA)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
