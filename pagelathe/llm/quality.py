@@ -4,9 +4,9 @@ Trusted documents are those that `labels` marks with quality 1. Of all of them t
 counted: distinct ones within a task first, then by key over all tasks. Lower orders count the distinct left
 neighbours of a gram. With three discounts per order, estimated from the counts of counts, the probabilities are
 computed from the lowest order up by joins on contexts and suffixes, sharded by those keys. The finished table of
-probabilities and back-off weights, which grows with the text it was made from, is written in shards by key; a task
-looks up the grams of its texts shard by shard and holds one shard of bounded size at a time, so that neither texts
-nor table are shuffled or broadcast for scoring. A tenth of the trusted documents, by their doc_id, is kept out of the
+probabilities and back-off weights, which grows with the text it was made from, is written in shards by key. A task joins the distinct
+grams of a portion of its texts with the shards one after another and holds a bounded number of their rows, so that
+neither texts nor table are shuffled or broadcast for scoring. A tenth of the trusted documents, by their doc_id, is kept out of the
 counts and sets the bounds: a language's bound is the `QUANTILE` of theirs in that language, times `SLACK`. Means and
 bounds of a language with n of them are drawn towards those of all as if `DRAW` of n + `DRAW` were the latter, so that
 few of them count for less but there is no number from which on they count. What is compared is the perplexity drawn
@@ -30,9 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, is_among, open_folder, sorted_ids, whole_text
+from .common import Scratch, is_among, open_folder, sorted_ids, tidy, whole_text
 
-ORDER, QUANTILE, SLACK, DRAW, PRIOR, SHARD = 5, 0.99, 1.1, 10, 50, 2_000_000
+ORDER, QUANTILE, SLACK, DRAW, PRIOR = 5, 0.99, 1.1, 10, 50
+SHARD, HOLD, PORTION = 1_000_000, 4_000_000, 4_000_000  # rows of a shard, rows that a worker keeps, characters scored at once
 BEGIN = "\x02"
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,7 +126,12 @@ def key_of(grams: pd.Series, kinds: pd.Series) -> pd.Series:
 
 
 class Model:
-    """A trained table, read shard by shard in Python workers."""
+    """A trained table, read shard by shard in Python workers.
+
+    Texts are scored in portions of PORTION characters. Of a portion the distinct grams are found first, then the keys
+    of all that they need are looked up at once, so that a portion reads a shard once however many there are; of the
+    last few shards a worker keeps HOLD rows.
+    """
 
     def __init__(self, folder: str, bits: int, unseen: float):
         self.folder, self.bits, self.unseen = folder, bits, unseen
@@ -137,94 +143,162 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def forget(self) -> None:
+        self.shards.clear()
+
     def shard(self, no: int) -> tuple:
-        if no not in self.shards:
-            import pyarrow.dataset as ds
+        if no in self.shards:
+            self.shards.move_to_end(no)
+        else:
+            import pyarrow.parquet as pq
 
-            while len(self.shards) > 0:
-                self.shards.popitem(last=False)
             system, path = open_folder(self.folder)
-            table = ds.dataset(f"{path}/shard={no}", filesystem=system, format="parquet").to_table(columns=["key", "value"])
+            table = pq.read_table(f"{path}/shard={no}", filesystem=system, columns=["key", "value"], partitioning=None)
             key, value = table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
-            order = np.argsort(key)
-            key, value = key[order], value[order].astype(np.float32)
+            del table
+            if (key[1:] < key[:-1]).any():  # sorted as signed numbers, or in several files
+                order = np.argsort(key)
+                key, value = key[order], value[order]
+            while self.shards and sum(len(x[0]) for x in self.shards.values()) + len(key) > HOLD:
+                self.shards.popitem(last=False)
             top = max(1, int(len(key)).bit_length())
             own = (key << np.uint64(self.bits)) >> np.uint64(64 - top)
-            first = np.searchsorted(own, np.arange((1 << top) + 1, dtype=np.uint64)).astype(np.int32)
+            first = np.zeros((1 << top) + 1, np.int32)
+            np.cumsum(np.bincount(own.astype(np.int64), minlength=1 << top), out=first[1:])
             self.shards[no] = key, value, first, top
         return self.shards[no]
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """The values of keys, NaN for those that the table lacks."""
+        """The values of keys, NaN for those that the table lacks; shards that are held come first."""
         out = np.full(len(keys), np.nan, np.float32)
-        of = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else None
-        for no in range(1) if of is None else np.unique(of):
-            mine = slice(None) if of is None else np.flatnonzero(of == no)
-            wanted = keys[mine]
-            key, value, first, top = self.shard(int(no))
-            slot = ((wanted << np.uint64(self.bits)) >> np.uint64(64 - top)).astype(np.int64)
-            at, end = first[slot], first[slot + 1]
-            found = np.full(len(wanted), np.nan, np.float32)
-            left = np.flatnonzero(at < end)
-            at, end = at[left], end[left]
-            while len(left):
-                hit = key[at] == wanted[left]
-                found[left[hit]] = value[at[hit]]
-                at = at + 1
-                go = ~hit & (at < end)
-                left, at, end = left[go], at[go], end[go]
-            out[mine] = found
+        if not self.bits:
+            return self._in_shard(0, keys)
+        of = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange((1 << self.bits) + 1))
+        for no in sorted(np.flatnonzero(np.diff(edges)).tolist(), key=lambda no: (no not in self.shards, no)):
+            mine = order[edges[no] : edges[no + 1]]
+            out[mine] = self._in_shard(no, keys[mine])
         return out
 
+    def _in_shard(self, no: int, wanted: np.ndarray) -> np.ndarray:
+        key, value, first, top = self.shard(no)
+        slot = ((wanted << np.uint64(self.bits)) >> np.uint64(64 - top)).astype(np.int64)
+        at, end = first[slot], first[slot + 1]
+        found = np.full(len(wanted), np.nan, np.float32)
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            hit = key[at] == wanted[left]
+            found[left[hit]] = value[at[hit]]
+            at = at + 1
+            go = ~hit & (at < end)
+            left, at, end = left[go], at[go], end[go]
+        return found
+
     def logs(self, chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log probabilities of the characters at `ends`."""
+        plan = [(length, kind) for length in range(ORDER, 0, -1) for kind in ((0, 1) if length > 1 else (0,))]
+        value = {}
+        if self.bits:
+            keys = [keys_at(chars, ends - kind, length - kind, kind) for length, kind in plan]
+            every = self.look_up(np.concatenate(keys))
+            value = dict(zip(plan, np.split(every, len(plan))))
         out = np.zeros(len(ends))
         left, behind = np.arange(len(ends)), np.zeros(len(ends))
+
+        def of(length: int, kind: int) -> np.ndarray:
+            if self.bits:
+                return value[length, kind][left]
+            return self.look_up(keys_at(chars, ends[left] - kind, length - kind, kind))
+
         for length in range(ORDER, 0, -1):
-            value = self.look_up(keys_at(chars, ends[left], length, 0))
-            seen = ~np.isnan(value)
-            out[left[seen]] = behind[seen] + value[seen]
+            p = of(length, 0)
+            seen = ~np.isnan(p)
+            out[left[seen]] = behind[seen] + p[seen]
             left, behind = left[~seen], behind[~seen]
             if not len(left):
                 return out
             if length > 1:
-                behind = behind + np.nan_to_num(self.look_up(keys_at(chars, ends[left] - 1, length - 1, 1)))
+                behind = behind + np.nan_to_num(of(length, 1))
         out[left] = behind + self.unseen
         return out
 
-    def perplexities(self, texts: pd.Series) -> np.ndarray:
-        """Perplexity of each text, NaN for blank ones."""
-        out = np.full(len(texts), np.nan)
-        held, numbers, size = [], [], 0
-
-        def flush():
+    def perplexities(self, parts: Iterator[pd.Series]) -> Iterator[np.ndarray]:
+        """Perplexity of each text of each part, NaN for blank ones; some parts may be read before the first result."""
+        sizes: list[int] = []  # characters of the texts of this portion
+        pieces: list[tuple] = []  # (place of each character's gram among the distinct ones, the distinct grams' characters)
+        held: list[np.ndarray] = []
+        chars, waiting = 0, 0
+
+        def pack() -> None:
+            nonlocal waiting
+            if not held:
+                return
             flat = np.concatenate(held)
             starts = np.cumsum([0, *map(len, held)])
             ends = np.concatenate([np.arange(s + ORDER - 1, e) for s, e in zip(starts[:-1], starts[1:])])
-            logs = np.concatenate([self.logs(flat, ends[i : i + (1 << 20)]) for i in range(0, len(ends), 1 << 20)])
-            count = np.diff(starts) - (ORDER - 1)
-            out[numbers] = np.exp(-np.add.reduceat(logs, np.cumsum(count) - count) / count)
-
-        for i, text in enumerate(texts):
+            place, known = pd.factorize(keys_at(flat, ends, ORDER, 0))
+            first = np.empty(len(known), np.int64)
+            first[place[::-1]] = ends[::-1]
+            grams = np.stack([flat[first - (ORDER - 1 - i)] for i in range(ORDER)], 1).astype(np.uint32)
+            pieces.append((place.astype(np.int32), known, grams))
+            held.clear()
+            waiting = 0
+
+        def flush() -> np.ndarray:
+            nonlocal chars
+            pack()
+            out = np.full(len(sizes), np.nan)
+            if pieces:
+                place, known = pd.factorize(np.concatenate([k for _, k, _ in pieces]))
+                first = np.empty(len(known), np.int64)
+                first[place[::-1]] = np.arange(len(place))[::-1]
+                grams = np.concatenate([g for _, _, g in pieces])[first]
+                ends = np.arange(ORDER - 1, grams.size, ORDER)
+                logs = np.concatenate([self.logs(grams.ravel(), ends[i : i + (1 << 18)]) for i in range(0, len(ends), 1 << 18)]) if not self.bits else self.logs(grams.ravel(), ends)
+                each, at = [], 0
+                for mine, own, _ in pieces:
+                    each.append(logs[place[at : at + len(own)]][mine].astype(np.float64))
+                    at += len(own)
+                count = np.array(sizes)
+                some = np.flatnonzero(count)
+                n = count[some]
+                out[some] = np.exp(-np.add.reduceat(np.concatenate(each), np.cumsum(n) - n) / n)
+            sizes.clear()
+            pieces.clear()
+            chars = 0
+            return out
+
+        def add(text: str) -> None:
+            nonlocal chars, waiting
             c = codes(text)
-            if len(c):
+            n = max(0, len(c) - (ORDER - 1))
+            sizes.append(n)
+            if n:
                 held.append(c)
-                numbers.append(i)
-                size += len(c)
-            if size > 1 << 20:
-                flush()
-                held, numbers, size = [], [], 0
-        if held:
-            flush()
-        return out
+                chars += n
+                waiting += n
+            if waiting > 1 << 18:
+                pack()
+
+        for part in parts:
+            for text in part:
+                add(text)
+            if chars > PORTION:
+                yield flush()
+        if sizes:
+            yield flush()
 
     def column(self) -> Column:
         model = self
 
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            yield from map(pd.Series, model.perplexities(parts))
+
         @F.pandas_udf(T.DoubleType())
         def perplexity(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for part in parts:
-                yield pd.Series(model.perplexities(part))
+            yield from tidy(run, model.forget)(parts)
 
         return F.nanvl(perplexity(whole_text()), F.lit(None).cast("double"))
 
@@ -241,7 +315,7 @@ def discounts(counts: dict[int, int]) -> list[float]:
 
 def train(texts: DataFrame, scratch: Scratch, shard: int = SHARD) -> Model | None:
     """The model of the texts (text), or None if they hold no character."""
-    grams = scratch.keep(texts.mapInPandas(count_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), f"grams{ORDER}")
+    grams = scratch.keep(texts.mapInPandas(tidy(count_grams), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), f"grams{ORDER}")
     tables = {ORDER: grams}
     for k in range(ORDER - 1, 0, -1):
         tables[k] = scratch.keep(tables[k + 1].groupBy(_suffix(k).alias("gram")).agg(F.count("*").alias("n")), f"grams{k}")
@@ -277,7 +351,7 @@ def train(texts: DataFrame, scratch: Scratch, shard: int = SHARD) -> Model | Non
     bits = max(0, int(np.ceil(np.log2(max(1, rows / shard)))))
     keyed = finished.select(key_of("gram", "kind").alias("key"), F.col("value").cast("float").alias("value"))
     keyed = keyed.withColumn("shard", F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0))
-    keyed.write.mode("overwrite").partitionBy("shard").parquet(scratch.path("model"))
+    keyed.repartition(1 << bits, "shard").sortWithinPartitions("shard", "key").write.mode("overwrite").partitionBy("shard").parquet(scratch.path("model"))
     scratch.drop(*(f"{x}{k}" for k in range(1, ORDER + 1) for x in ("grams", "contexts", "p")))
     return Model(scratch.path("model"), bits, unseen)
 
@@ -286,17 +360,23 @@ def trusted_ids(labels: DataFrame, scratch: Scratch) -> str:
     return sorted_ids(labels.where("quality = 1").select(F.col("doc_id").alias("id")), scratch, "trusted")
 
 
+def trusted(facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of facts about documents (no texts: they are shuffled) that a label trusts."""
+    known = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__trusted")).distinct()
+    return facts.join(known, facts["doc_id"].cast("long") == known["__trusted"], "left_semi")
+
+
 def kept_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
 
 
-def judged(scored: DataFrame, trusted: DataFrame, languages: DataFrame, scratch: Scratch) -> DataFrame:
-    """scored (lang, perplexity, length and more) with `threshold` and `keep`, by the trusted rows kept out (the same columns).
+def judged(scored: DataFrame, kept: DataFrame, languages: DataFrame, scratch: Scratch) -> DataFrame:
+    """scored (lang, perplexity, length and more) with `threshold` and `keep`, by the trusted rows kept out of training (the same columns).
 
     languages (lang): those of all trusted documents, kept out or not.
     """
     named = F.coalesce("lang", F.lit("und"))
-    known = trusted.where("perplexity is not null").select(named.alias("of"), F.log("perplexity").alias("log"), "length")
+    known = kept.where("perplexity is not null").select(named.alias("of"), F.log("perplexity").alias("log"), "length")
     if (overall := known.agg(F.avg("log").alias("mean")).first()["mean"]) is None:
         return scored.withColumns({"threshold": F.lit(None).cast("double"), "keep": F.lit(True)})
 
@@ -320,13 +400,11 @@ def judged(scored: DataFrame, trusted: DataFrame, languages: DataFrame, scratch:
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, threshold, keep for every row of docs."""
     scratch = Scratch(spark, "quality")
-    ids = trusted_ids(labels, scratch)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), whole_text().alias("text"))
-    model = train(read.where(is_among(ids)("doc_id") & ~kept_out()).select("text"), scratch)
+    model = train(read.where(~kept_out() & is_among(trusted_ids(labels, scratch))("doc_id")).select("text"), scratch)
     score = model.column() if model else F.lit(None).cast("double")
     scored = scratch.keep(read.select("doc_id", "lang", score.alias("perplexity"), F.length("text").alias("length")), "scores")
-    languages = read.where(is_among(ids)("doc_id")).select("lang")
-    return judged(scored, scored.where(kept_out() & is_among(ids)("doc_id")), languages, scratch).select("doc_id", "lang", "perplexity", "threshold", "keep")
+    return judged(scored, trusted(scored.where(kept_out()), labels), trusted(scored, labels).select("lang"), scratch).select("doc_id", "lang", "perplexity", "threshold", "keep")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,15 +412,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that `quality` rejects. Texts are not shuffled: those that set the bounds are scored twice."""
+    """docs without those that `quality` rejects. Texts of all documents are not shuffled: those that set the bounds are scored twice."""
     scratch = Scratch(spark, "quality")
-    ids = trusted_ids(labels, scratch)
-    trusted = is_among(ids)(F.col("doc_id").cast("long"))
-    model = train(docs.where(~kept_out() & trusted).select(whole_text().alias("text")), scratch)
+    is_trusted = is_among(trusted_ids(labels, scratch))(F.col("doc_id").cast("long"))
+    model = train(docs.where(~kept_out() & is_trusted).select(whole_text().alias("text")), scratch)
     if not model:
         return docs
     facts = [docs["lang"].cast("string").alias("lang"), model.column().alias("perplexity"), F.length(whole_text()).alias("length")]
-    known = scratch.keep(docs.where(kept_out() & trusted).select(*facts), "known")
+    known = scratch.keep(docs.where(kept_out() & is_trusted).select(*facts), "known")
     scored = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *facts)
-    languages = docs.where(trusted).select(docs["lang"].cast("string").alias("lang"))
+    languages = trusted(docs.select("doc_id", "lang"), labels).select(F.col("lang").cast("string").alias("lang"))
     return judged(scored, known, languages, scratch).where("keep").select("row.*")
