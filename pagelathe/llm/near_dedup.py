@@ -17,10 +17,12 @@ The pipeline's stage, `one_of_each`, has figures of its own: two texts are linke
 shingles have a Jaccard similarity of 0.8. At that radius blocks of bits no longer tell fingerprints apart, so it is
 shingles that candidates meet by. In any one order of all shingles, two such sets share one of their first
 n - ceil(0.8 n) + 1, and these prefixes, with the shingles that are rare in a sample first, are what a text is dealt out by;
-the sample changes how many meet, never what is found. Those that meet are compared by a SimHash of 128 bits with a
+the sample changes how many meet, never what is found. Those that meet can only be that similar if enough of both is left
+from the first shingle that they share on, and are compared by a SimHash of 128 bits with a
 radius of 48, which is 5 standard deviations beyond what 0.8 makes of sets of any size, and what is left is verified on
-the texts. Where more than `crowd` texts have a least shingle in common, they are first linked to the least of them, also
-verified; texts of one component are not compared again.
+the sets. Where more than `crowd` texts have a least shingle in common, they are first compared with the CENTRES of them
+whose SimHash is nearest to that of the crowd, also verified; texts of one component are not compared again, so that a
+large group of near copies costs CENTRES comparisons for each and not one for each pair.
 """
 
 from __future__ import annotations
@@ -30,15 +32,16 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, is_among, open_folder, runs_equal, sorted_ids, whole_text
-from .decontaminate import numbers, shingles
+from .common import Scratch, is_among, open_folder, runs_equal, slices, sorted_ids, tidy, whole_text
+from .decontaminate import shingles
+from .words import word_hashes
 
 RADIUS = 4
-WORDS, WIDE_RADIUS, SAMPLE, COMMON = 5, 48, 10_000, 2  # the stage's; similarity 0.8 is written as 4 of 5
+WORDS, WIDE_RADIUS, SAMPLE, COMMON, CENTRES = 5, 48, 10_000, 2, 4  # the stage's; similarity 0.8 is written as 4 of 5
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -61,10 +64,15 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(shingles)).tobytes(), "big")
 
 
+def _prints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in parts:
+        yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+
 @F.pandas_udf(T.LongType())
-def fingerprint_of(texts: pd.Series) -> pd.Series:
+def fingerprint_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The fingerprint as a signed 64-bit number."""
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+    yield from tidy(_prints)(parts)
 
 
 def masks(blocks: int, radius: int = RADIUS) -> list[int]:
@@ -204,11 +212,11 @@ def links(spark: SparkSession, prints: DataFrame, scratch: Scratch, blocks: int
     dealt = prints.select("fp", "rep", F.explode(keys).alias("at")).select("at.which", "at.key", "fp", "rep")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(n, "which", "key").sortWithinPartitions("which", "key")
-    found = scratch.keep(dealt.mapInPandas(compare(limit, RADIUS), "kind int, which int, a long, b long"), "found")
+    found = scratch.keep(dealt.mapInPandas(tidy(compare(limit, RADIUS)), "kind int, which int, a long, b long"), "found")
     out = found.where("kind = 0").select("a", "b")
     over = found.where("kind = 1")
     if not over.isEmpty():
-        met = scratch.keep(over.mapInPandas(dealt_around(chosen), "which int, word long, rep long"), "met")
+        met = scratch.keep(over.mapInPandas(tidy(dealt_around(chosen)), "which int, word long, rep long"), "met")
         least = scratch.keep(met.groupBy("which", "word").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
         star = met.join(least, ["which", "word"]).where("rep <> b").select(F.col("rep").alias("a"), "b")
         out = out.union(star)
@@ -260,10 +268,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """The distinct five-word shingles of a text, as ascending hashes; fewer words are one shingle, none are none."""
-    ids = numbers(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split())
-    return np.unique(shingles(ids, min(WORDS, len(ids)))) if len(ids) else np.empty(0, np.uint64)
+def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
+    """The distinct five-word shingles of each text, as ascending hashes; fewer words are one shingle, none are none."""
+    for some in slices(texts, 1 << 20):
+        ids, bounds = word_hashes(texts[some], "blanks")
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield np.unique(shingles(ids[a:b], min(WORDS, b - a))) if b > a else np.empty(0, np.uint64)
 
 
 def mixed(hashes: np.ndarray, no: int) -> np.ndarray:
@@ -291,13 +301,19 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 @F.pandas_udf(T.BooleanType())
-def alike_texts(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([alike(shingle_set(x), shingle_set(y)) for x, y in zip(a, b)], dtype=bool)
+def alike_sets(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype=bool)
+
+
+def packed_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas: (doc_id, text) to (doc_id, set), the hashes of a set end to end."""
+    for part in parts:
+        yield pd.DataFrame({"doc_id": part["doc_id"], "set": [s.tobytes() for s in shingle_sets(part["text"].tolist())]})
 
 
 def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        yield pd.DataFrame({"shingle": np.concatenate([np.empty(0, np.uint64), *map(shingle_set, part["text"])]).view(np.int64)})
+        yield pd.DataFrame({"shingle": np.concatenate([np.empty(0, np.uint64), *shingle_sets(part["text"].tolist())]).view(np.int64)})
 
 
 def described(common: str):
@@ -316,8 +332,7 @@ def described(common: str):
             known, often = known[order], often[order]
         for part in parts:
             out = []
-            for doc_id, text in zip(part["doc_id"], part["text"]):
-                found = shingle_set(text)
+            for doc_id, found in zip(part["doc_id"], shingle_sets(part["text"].tolist())):
                 n = len(found)
                 total = int(mixed(found, 2).sum(dtype=np.uint64)) if n else 0
                 first, second = wide_print(found).view(np.int64).tolist()
@@ -334,16 +349,20 @@ def described(common: str):
 
 
 def meeting(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas: rows (key, rep, component, n, first, second) with equal keys in a row to pairs (a, b) to be verified."""
+    """For mapInPandas: rows (key, rep, component, n, rest, first, second) with equal keys in a row to pairs (a, b) to be verified.
+
+    `rest` is how many of a set's shingles stand at the key or after it in the order of all. Where the key is the first
+    that two sets share, they share `rest` of either at most; 4 of 9 of both sizes are needed for a similarity of 0.8.
+    """
 
     def near(x: list[np.ndarray], i, j) -> np.ndarray:
-        rep, component, n, first, second = x
-        size = np.minimum(n[i], n[j]) * 5 >= np.maximum(n[i], n[j]) * 4
+        rep, component, n, rest, first, second = x
+        size = np.minimum(rest[i], rest[j]) * 9 >= (n[i] + n[j]) * 4
         return size & (component[i] != component[j]) & (np.bitwise_count(first[i] ^ first[j]) + np.bitwise_count(second[i] ^ second[j]) <= WIDE_RADIUS)
 
     def pairs(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         key = part["key"].to_numpy()
-        x = [part[c].to_numpy(np.int64) for c in ("rep", "component", "n")] + [part[c].to_numpy(np.int64).view(np.uint64) for c in ("first", "second")]
+        x = [part[c].to_numpy(np.int64) for c in ("rep", "component", "n", "rest")] + [part[c].to_numpy(np.int64).view(np.uint64) for c in ("first", "second")]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[starts, len(key)])
 
@@ -390,43 +409,61 @@ def verified(found: DataFrame, texts: DataFrame, scratch: Scratch, name: str) ->
     """Those of the pairs (a, b) whose texts (doc_id, text) are alike."""
     found = scratch.keep(found.distinct(), f"{name}_pairs")
     ids = sorted_ids(found.select(F.explode(F.array("a", "b")).alias("id")), scratch, f"{name}_ids")
-    some = scratch.keep(texts.where(is_among(ids)("doc_id")), f"{name}_texts")
-    both = found.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    out = scratch.keep(both.where(alike_texts("a_text", "b_text")).select("a", "b").distinct(), f"{name}_links")
-    scratch.drop(f"{name}_texts")
+    some = scratch.keep(texts.where(is_among(ids)("doc_id")).mapInPandas(tidy(packed_sets), "doc_id long, set binary"), f"{name}_sets")
+    both = found.join(some.select(F.col("doc_id").alias("a"), F.col("set").alias("a_set")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("set").alias("b_set")), "b")
+    out = scratch.keep(both.where(alike_sets("a_set", "b_set")).select("a", "b").distinct(), f"{name}_links")
+    scratch.drop(f"{name}_sets")
     return out
 
 
+def central(crowds: DataFrame, scratch: Scratch) -> DataFrame:
+    """(no, key, b): of each crowd of rows (no, key, rep, first, second), the CENTRES whose fingerprints are nearest to the majority of its bits."""
+    sums = [F.sum(F.getbit(x, F.lit(i))).alias(f"{x}{i}") for x in ("first", "second") for i in range(64)]
+    counts = crowds.groupBy("no", "key").agg(F.count("*").alias("n"), *sums)
+
+    def most(x: str) -> Column:
+        bits = [F.when(F.col(f"{x}{i}") * 2 > F.col("n"), F.lit((1 << i) - (1 << 64 if i == 63 else 0))).otherwise(F.lit(0)) for i in range(64)]
+        return F.aggregate(F.array(*[b.cast("long") for b in bits]), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    middle = scratch.keep(counts.select("no", "key", most("first").alias("m1"), most("second").alias("m2")), "middles")
+    far = F.bit_count(F.col("first").bitwiseXOR(F.col("m1"))) + F.bit_count(F.col("second").bitwiseXOR(F.col("m2")))
+    near = crowds.join(middle, ["no", "key"]).select("no", "key", "rep", far.alias("far"))
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("no", "key").orderBy("far", "rep")))
+    return scratch.keep(ranked.where(F.col("place") <= CENTRES).select("no", "key", F.col("rep").alias("b")), "centres")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, crowd: int = 64) -> DataFrame:
     """(doc_id, component_id) of the rows of docs with a doc_id: the least doc_id that links of similarity 0.8 lead to."""
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).where("doc_id is not null")
     every = max(1, texts.count() // SAMPLE)
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    scratch.keep(sample.mapInPandas(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON), "common")
-    sets = scratch.keep(texts.mapInPandas(described(scratch.path("common")), "doc_id long, n int, total long, first long, second long, prefix array<long>, least array<long>"), "sets")
+    scratch.keep(sample.mapInPandas(tidy(spread), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON), "common")
+    sets = scratch.keep(texts.mapInPandas(tidy(described(scratch.path("common"))), "doc_id long, n int, total long, first long, second long, prefix array<long>, least array<long>"), "sets")
     same = ["n", "total", "first", "second"]
     distinct = scratch.keep(sets.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")), "distinct")
     # arrays are left where they are: what is moved is the rows that are not their set's first
     twice = scratch.keep(sets.select("doc_id", *same).join(distinct.where("rep <> other"), same).where("doc_id <> rep").select("doc_id", *same).distinct(), "twice")
     firsts = sets.join(twice, ["doc_id", *same], "left_anti").withColumnRenamed("doc_id", "rep")
     edges, owner = None, None
-    stars = firsts.select("rep", F.posexplode("least").alias("no", "key"))
-    centres = scratch.keep(stars.groupBy("no", "key").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where(F.col("n") > crowd).drop("n"), "centres")
-    if not centres.isEmpty():
-        edges = verified(stars.join(centres, ["no", "key"]).where("rep <> b").select(F.col("rep").alias("a"), "b"), texts, scratch, "stars")
+    stars = firsts.select("rep", "first", "second", F.posexplode("least").alias("no", "key"))
+    crowded = scratch.keep(stars.groupBy("no", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).drop("n"), "crowded")
+    if not crowded.isEmpty():
+        crowds = scratch.keep(stars.join(crowded, ["no", "key"]), "crowds")
+        met = crowds.join(central(crowds, scratch), ["no", "key"]).where("rep <> b").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b"))
+        edges = verified(met, texts, scratch, "stars")
         if edges.isEmpty():
             edges = None
         else:
             owner = scratch.keep(components(edges, scratch).select(F.col("node").alias("rep"), "component"), "known")
     by_key = Window.partitionBy("key")
-    dealt = firsts.select(F.explode("prefix").alias("key"), "rep")
-    shared = scratch.keep(dealt.withColumns({"low": F.min("rep").over(by_key), "high": F.max("rep").over(by_key)}).where("low <> high").select("key", "rep").distinct(), "shared")
+    dealt = firsts.select(F.posexplode("prefix").alias("at", "key"), "rep")
+    shared = scratch.keep(dealt.withColumns({"low": F.min("rep").over(by_key), "high": F.max("rep").over(by_key)}).where("low <> high").select("key", "rep", "at").distinct(), "shared")
     facts = firsts.select("rep", "n", "first", "second").distinct()
     facts = facts.withColumn("component", F.col("rep")) if owner is None else facts.join(owner, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    full = shared.join(facts, "rep").select("key", "rep", "component", "n", "first", "second")
+    full = shared.join(facts, "rep").select("key", "rep", "component", "n", (F.col("n") - F.col("at")).alias("rest"), "first", "second")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = full.repartition(n, "key").sortWithinPartitions("key").mapInPandas(meeting, "a long, b long")
+    pairs = full.repartition(n, "key").sortWithinPartitions("key").mapInPandas(tidy(meeting), "a long, b long")
     met = verified(pairs, texts, scratch, "met")
     edges = met if edges is None else edges.union(met)
     if edges.isEmpty():
