@@ -9,12 +9,14 @@ repeated group of optional items, one for each label. Each element has a text sl
 same on all pages, and how much of it there is, in and out of links.
 
 Wrappers are inferred from all pages: within a task for each host first, then over the tasks in rounds of FAN, so that
-a host with very many pages is never in one task. A wrapper has at most MOST elements, however many pages it was made
-of. The wrapper of a host tells which elements are the article: `article`, else `main`, else the smallest element with
-most of the host's text outside links, without what is the same on LEAST or more pages. Menus, headers, footers,
-sidebars, notices, adverts, forms and comments are told by tags, roles and words in class and id. Each page is then
-aligned with its host's wrapper and gives the texts of those elements; a page that has none of them is judged by the
-wrapper of its own.
+a host with very many pages is never in one task. MOST, DEPTH and WIDE bound a wrapper however many pages it was made
+of; what lies beyond them is described more coarsely and no text of a page is lost by that. The wrapper of a host tells
+which elements are the article: `article`, else `main`, else the smallest container with most of the host's text outside
+links, without unrepeated elements whose text is the same on LEAST or more different pages while that of others varies.
+Menus, headers, footers, sidebars, notices, adverts, forms and comments are told by tags, roles and words in class and
+id; where such a word is only part of a name (`notice-board`), the wrapper tells: the element goes if its texts are the
+same on LEAST pages or links for the most part. Each page is then aligned with its host's wrapper and gives the texts
+of those elements; a page that has none of them is judged by the wrapper of its own.
 
 Defined results. Null and empty html has an empty text. Pages without host share one wrapper. Unclosed and misnested
 elements are closed where their container ends; text outside body counts as the body's. White space is that of Unicode,
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, open_folder, whole_text
+from .common import Scratch, open_folder, tidy, whole_text
 
 WIDE, MOST, DEPTH, FAN, LEAST, SHARE, HELD = 48, 3000, 48, 16, 5, 0.6, 500
 
@@ -46,7 +48,10 @@ GONE_TAGS = frozenset("aside button canvas datalist dialog embed footer form hea
 GONE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 GONE_WORDS = frozenset("ad ads adsense advert adverts advertisement advertising aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion related replies reply respond share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
+#: Words that say where or how, not what: a class of them and words of GONE_WORDS alone is as clear as the latter.
+PLACE_WORDS = frozenset("area article articles bar bottom box button buttons block container content fixed form global group header icon icons inner item items js left link links list main mini mobile outer page panel post posts primary right row secondary section site sticky top wrap wrapper".split())
 MAIN_WORDS = frozenset("article articlebody entry post story".split())
+CONTAINERS = frozenset("article body center div main section table tbody tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|template|iframe|textarea|title|xmp|noembed|noframes"
 
@@ -62,19 +67,20 @@ DIGITS = re.compile(r"[0-9]+")
 class Node:
     """An element of a page, or of a wrapper (`mark`: how often it stands there; `bag`: whether its kids are a repeated group of optional ones)."""
 
-    __slots__ = ("label", "mark", "kids", "bag", "pages", "chars", "links", "same")
+    __slots__ = ("label", "mark", "kids", "bag", "seen", "chars", "links", "same")
 
     def __init__(self, label: str):
         self.label, self.mark, self.kids, self.bag = label, "", [], False
-        self.pages, self.chars, self.links, self.same = 1, 0, 0, None
+        self.seen: list[int] = []  # numbers of LEAST different pages that have it, at most
+        self.chars, self.links, self.same = 0, 0, None
 
     def flat(self) -> list:
-        return [self.label, self.mark, int(self.bag), self.pages, self.chars, self.links, self.same, [k.flat() for k in self.kids]]
+        return [self.label, self.mark, int(self.bag), self.seen, self.chars, self.links, self.same, [k.flat() for k in self.kids]]
 
 
 def from_flat(row: list) -> Node:
     out = Node(row[0])
-    out.mark, out.bag, out.pages, out.chars, out.links, out.same = row[1], bool(row[2]), *row[3:7]
+    out.mark, out.bag, out.seen, out.chars, out.links, out.same = row[1], bool(row[2]), *row[3:7]
     out.kids = [from_flat(k) for k in row[7]]
     return out
 
@@ -83,15 +89,19 @@ _LABELS: dict[tuple[str, str], str] = {}
 
 
 def label_of(tag: str, attrs: str) -> str:
-    """`tag.names`, after `!` if the element never belongs to an article and `^` if only outside one."""
+    """`tag.names`, after `!` if the element never belongs to an article, `^` if only outside one, `%` if the wrapper has to tell."""
     found = _LABELS.get((tag, attrs))
     if found is None:
         names = {k.lower(): a or b or c for k, a, b, c in NAMES.findall(attrs)} if "=" in attrs else {}
         role = names.get("role", "").strip().lower()
-        words = {w.lower() for k in ("class", "id") for w in WORDS.findall(names.get(k, ""))}
-        mark = "!" if tag in GONE_TAGS or role in GONE_ROLES or (words & GONE_WORDS and tag not in ("body", "html")) else "^" if tag == "header" or words & HEAD_WORDS else ""
+        each = [{w.lower() for w in WORDS.findall(name)} for k in ("class", "id") for name in names.get(k, "").split()]
+        words = set().union(*each)
+        named = tag not in ("body", "html") and words & GONE_WORDS
+        clear = named and any(w & GONE_WORDS and w <= GONE_WORDS | PLACE_WORDS for w in each)
+        mark = "!" if tag in GONE_TAGS or role in GONE_ROLES or clear else "^" if tag == "header" or words & HEAD_WORDS else "%" if named else ""
         kind = "=" if not mark and (tag == "article" or names.get("itemprop", "").lower() == "articlebody") else "~" if not mark and (tag == "main" or role == "main") else "-" if not mark and words & MAIN_WORDS and tag in ("div", "section") else ""
-        found = mark + kind + tag + "".join("." + DIGITS.sub("0", w)[:24] for w in names.get("class", "").split()[:3])
+        classes = "".join("." + DIGITS.sub("0", w) for w in names.get("class", "").split())
+        found = mark + kind + tag + (classes if len(classes) <= 64 else "." + slot_of(None, classes))
         if len(_LABELS) > 50_000:
             _LABELS.clear()
         _LABELS[tag, attrs] = found
@@ -106,12 +116,14 @@ def slot_of(before: str | None, text: str) -> str:
 
 
 def tag_of(label: str) -> str:
-    return label.lstrip("!^=~-").partition(".")[0]
+    return label.lstrip("!^%=~-").partition(".")[0]
 
 
 def read_page(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     """The tree of a page and its blocks in page order: (element, text, characters in links)."""
+    seen: list[int] = []  # shared by all elements
     root = Node("body")
+    root.seen = seen
     stack: list[tuple[str, Node, bool, bool]] = [("body", root, False, False)]  # tag, element, whether it is gone, whether in an article
     blocks: list[tuple[Node, str, int]] = []
     pieces: list[str] = []
@@ -134,6 +146,8 @@ def read_page(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     for token in TOKEN.finditer(html):
         text = token["text"]
         if text is not None:
+            if stack[-1][0] == "head" and not text.isspace():
+                del stack[-1:]
             if not stack[-1][2]:
                 pieces.append(text)
                 if in_link:
@@ -163,6 +177,8 @@ def read_page(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             continue
         if tag == "body" or tag == "html":
             flush()
+            if tag == "body" and len(stack) > 1 and stack[1][0] == "head":
+                del stack[1:]
             continue
         attrs = token["attrs"]
         if not is_block and tag not in GONE_TAGS and "=" not in attrs:
@@ -177,6 +193,8 @@ def read_page(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             continue
         if is_block:
             flush()
+            if stack[-1][0] == "head":  # left open
+                del stack[-1:]
             if tag in ENDS_P:
                 for at in range(len(stack) - 1, 0, -1):
                     if stack[at][0] == "p":
@@ -191,12 +209,9 @@ def read_page(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
                     if stack[at][0] in ALONE[tag]:
                         del stack[at:]
                         break
-            if tag in ("section", "article", "main", "nav", "footer", "header", "aside", "form", "div") and stack[-1][0] == "head":
-                del stack[1:]
-        if tag == "p" and stack[-1][0] == "head":
-            del stack[1:]
         _, above, gone, inside = stack[-1]
         node = Node(label)
+        node.seen = seen
         own_gone = gone or label[0] == "!" or (label[0] == "^" and not inside)
         if not gone:
             if len(stack) < DEPTH:
@@ -205,6 +220,7 @@ def read_page(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
                 node = above if not own_gone else node
         stack.append((tag, node, own_gone, inside or label[0] in "=~"))
     flush()
+    seen.append(int(slot_of(None, "\n".join(text for _, text, _ in blocks))[:8], 16))
     return root, blocks
 
 
@@ -269,7 +285,9 @@ def optional(node: Node) -> Node:
 def merge(a: Node, b: Node) -> Node:
     """The least general wrapper that this alignment finds for two of one label."""
     a.mark = _mark(a.mark, b.mark)
-    a.pages, a.chars, a.links = a.pages + b.pages, a.chars + b.chars, a.links + b.links
+    if a.seen != b.seen and len(a.seen) < LEAST:
+        a.seen = sorted({*a.seen, *b.seen})[:LEAST]
+    a.chars, a.links = a.chars + b.chars, a.links + b.links
     if a.same != b.same:
         a.same = ""
     if a.bag or b.bag:
@@ -341,6 +359,11 @@ def bounded(wrapper: Node) -> Node:
 _KEEP = Node("(kept)")  # stands for what a wrapper lacks, below elements that stay
 
 
+def constant(node: Node) -> bool:
+    """Whether an element's slot is the same on LEAST different pages, copies of one another apart."""
+    return bool(node.same) and len(node.seen) >= LEAST
+
+
 def judge(wrapper: Node) -> set[int]:
     """The elements (by id) that are an article's root, and all in them that stay."""
     out: set[int] = {id(_KEEP)}
@@ -358,24 +381,30 @@ def judge(wrapper: Node) -> set[int]:
     def mass(node: Node) -> int:
         return 0 if node.label[0] in "!^" else max(0, node.chars - node.links) + sum(map(mass, node.kids))
 
-    found = roots("=") or roots("~") or [n for n in roots("-") if mass(n) >= SHARE * mass(wrapper)]
-    plain = not found
-    if plain:
+    def foreign(node: Node) -> bool:
+        """Whether what its names leave open is no article: the same everywhere, or links for the most part."""
+        some = [n for n in _all([node]) if n.chars]
+        return all(map(constant, some)) or 2 * sum(n.links for n in some) >= sum(n.chars for n in some)
+
+    written = lambda some: [n for n in some if any(x.chars for x in _all([n]))]
+    found = written(roots("=")) or written(roots("~")) or [n for n in roots("-") if mass(n) >= SHARE * mass(wrapper)]
+    if not found:
         node = wrapper
         while True:
             whole = mass(node)
             best = max(node.kids, key=mass, default=None)
-            if best is None or not whole or mass(best) < SHARE * whole or tag_of(best.label) in ("p", "li", "td", "pre", "blockquote", "dd"):
+            if best is None or not whole or mass(best) < SHARE * whole or tag_of(best.label) not in CONTAINERS:
                 break
             node = best
         found = [node]
-    varied = plain and any(n.same == "" and not n.mark for n in _all(found))
+    # text slots that vary are an article's; beside them those that don't are the host's
+    varied = any(n.same == "" and not n.mark for n in _all(found))
     todo = list(found)
     while todo:
         node = todo.pop()
-        if node.label[0] == "!":
+        if node.label[0] == "!" or (node.label[0] == "%" and foreign(node)):
             continue
-        if not (varied and node.same and not node.kids and node.mark in ("", "?") and node.pages >= LEAST):
+        if not (varied and constant(node) and not node.kids and node.mark in ("", "?")):
             out.add(id(node))
         todo += node.kids
     return out
@@ -472,7 +501,7 @@ def combine(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, part, wrapper), one row for each host of pages (url, html)."""
-    now = scratch.keep(pages.select(host_of().alias("host"), whole_text("html").alias("html")).mapInPandas(infer, "host string, part long, wrapper string"), "parts0")
+    now = scratch.keep(pages.select(host_of().alias("host"), whole_text("html").alias("html")).mapInPandas(tidy(infer), "host string, part long, wrapper string"), "parts0")
     turn = 0
     while True:
         most = now.groupBy("host").count().agg(F.max("count")).first()[0] or 1
@@ -481,7 +510,7 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
         turn += 1
         salts = -(-most // FAN)
         dealt = now.withColumn("salt", F.pmod("part", F.lit(salts))).repartition("host", "salt").sortWithinPartitions("host", "salt", "part", "wrapper")
-        now = scratch.keep(dealt.mapInPandas(combine, "host string, part long, wrapper string"), f"parts{turn}")
+        now = scratch.keep(dealt.mapInPandas(tidy(combine), "host string, part long, wrapper string"), f"parts{turn}")
 
 
 def extractor(folder: str):
@@ -525,7 +554,7 @@ def extract(pages: DataFrame) -> DataFrame:
     folder = scratch.path("by_host")
     wrappers(pages, scratch).select("host", "wrapper").sort("host").write.option("parquet.block.size", 4 << 20).parquet(folder)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of().alias("host"), whole_text("html").alias("html"))
-    return rows.mapInPandas(extractor(folder), "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    return rows.mapInPandas(tidy(extractor(folder)), "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
