@@ -7,8 +7,9 @@ count, further ones are flagged. A result comes after its call, and a call after
 `after`. Messages get their place by peeling: each round places those all of whose predecessors have a place, at the
 greatest of their own turn and their predecessors' places. Ordering by (place_turn, place_depth, turn) is a
 topological order that moves only what stands too early. What no round can place is in or behind a cycle, keeps its
-turn and is flagged. Arguments are validated against JSON schemas: type, properties, required, enum and
-additionalProperties of the top level. Canonical JSON has sorted keys and no white space. All is built from SQL
+turn and is flagged. Arguments are validated against JSON schemas, to the depth that the catalogue of tools has: type,
+enum, const, required, properties, additionalProperties (false), items, minimum and maximum, lengths and pattern; any
+other keyword of a schema that applies is a problem of its own. Canonical JSON has sorted keys and no white space. All is built from SQL
 functions, and nothing is gathered by conversation.
 
 Defined results. A message row gives one row. Null texts are empty, a null role is absent from the JSON. Rows that
@@ -20,6 +21,8 @@ null are formatted but not linked. A message without a turn keeps none. Canonica
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +35,42 @@ TOOLS = """[
 ]"""
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 CALL_FIELDS = "array<struct<id:string,name:string,arguments:variant,after:array<string>>>"
-SCHEMA_FIELDS = "properties map<string,struct<type:string,enum:array<variant>>>, required array<string>, additionalProperties string"
-
-
-def catalogue(spark: SparkSession, tools: str = TOOLS) -> DataFrame:
-    """(name, schema) of a JSON text of tools."""
-    read = F.from_json(F.lit(tools), "array<struct<name:string,schema:string>>")
-    return spark.range(1).select(F.explode(read).alias("tool")).select("tool.name", "tool.schema")
+#: A schema node: of a tool, the object or array at `path` (`$`, `.name` for properties, `[]` for what an array holds).
+NODE = "array<struct<name:string,path:string,types:array<string>,enum:array<string>,required:array<string>,known:array<string>,closed:boolean,least:double,most:double,shortest:int,longest:int,pattern:string,unsupported:array<string>>>"
+UNDERSTOOD = frozenset("type enum const required properties additionalProperties items minimum maximum minLength maxLength minItems maxItems pattern title description default examples $schema $id".split())
+
+
+def canonical(value) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def schema_nodes(name: str, schema: dict, path: str = "$") -> list[dict]:
+    """The nodes of a JSON schema, to its own depth."""
+    kind, known = schema.get("type"), schema.get("properties") or {}
+    enum = schema["enum"] if "enum" in schema else [schema["const"]] if "const" in schema else None
+    more, items = schema.get("additionalProperties", True), schema.get("items")
+    odd = sorted(schema.keys() - UNDERSTOOD) + (["additionalProperties"] if isinstance(more, dict) else []) + (["items"] if isinstance(items, list) else [])
+    out = [
+        {
+            "name": name, "path": path, "types": [kind] if isinstance(kind, str) else kind, "enum": None if enum is None else [canonical(x) for x in enum],
+            "required": schema.get("required"), "known": sorted(known), "closed": more is False, "least": schema.get("minimum"), "most": schema.get("maximum"),
+            "shortest": schema.get("minLength", schema.get("minItems")), "longest": schema.get("maxLength", schema.get("maxItems")), "pattern": schema.get("pattern"), "unsupported": odd,
+        }
+    ]
+    for k, sub in known.items():
+        out += schema_nodes(name, sub, f"{path}.{k}") if isinstance(sub, dict) else []
+    return out + (schema_nodes(name, items, f"{path}[]") if isinstance(items, dict) else [])
+
+
+def catalogue(spark: SparkSession, tools: str = TOOLS) -> tuple[DataFrame, int]:
+    """(rows of schema nodes, levels below the top) of a JSON text of tools (name, schema); of equal names the first counts."""
+    rows, names = [], set()
+    for tool in json.loads(tools):
+        if tool["name"] not in names:
+            names.add(tool["name"])
+            rows += schema_nodes(tool["name"], json.loads(tool["schema"]))
+    nodes = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), NODE)))
+    return nodes, max((r["path"].count(".") + r["path"].count("[]") for r in rows), default=0)
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -74,34 +106,58 @@ def fits(value: Column, kind: Column) -> Column:
     )
 
 
-def problems(arguments: Column, schema: Column) -> Column:
-    """What is wrong with arguments (variant): array<string>; schema: struct<SCHEMA_FIELDS>, null for unknown tools."""
-    own = F.from_json(F.to_json(arguments), "map<string,variant>")
-    names = F.coalesce(F.map_keys(own), F.array().cast("array<string>"))
-    known = F.coalesce(schema["properties"], F.create_map().cast("map<string,struct<type:string,enum:array<variant>>>"))
-    required = F.coalesce(schema["required"], F.array().cast("array<string>"))
-    missing = F.transform(F.filter(required, lambda n: ~F.array_contains(names, n)), lambda n: F.concat(F.lit("missing:"), n))
-    strange = F.when(schema["additionalProperties"] == "false", F.transform(F.filter(names, lambda n: ~F.map_contains_key(known, n)), lambda n: F.concat(F.lit("unexpected:"), n))).otherwise(F.array().cast("array<string>"))
-
-    def types(kind: Column) -> Column:
-        return F.when(kind.startswith("["), F.from_json(kind, "array<string>")).otherwise(F.array(kind))
-
-    def wrong_type(n: Column) -> Column:
-        kind = known[n]["type"]
-        return F.map_contains_key(known, n) & kind.isNotNull() & ~F.exists(types(kind), lambda k: fits(own[n], k))
-
-    def not_listed(n: Column) -> Column:
-        some = known[n]["enum"]
-        return F.map_contains_key(known, n) & some.isNotNull() & ~F.exists(some, lambda e: F.to_json(e) == F.to_json(own[n]))
+def problems(calls: DataFrame, key: list[str], tools: DataFrame, levels: int) -> DataFrame:
+    """(key, problems): what is wrong with the arguments of calls (key, name, arguments): array<string>.
 
-    types_wrong = F.transform(F.filter(names, lambda n: F.coalesce(wrong_type(n), F.lit(False))), lambda n: F.concat(F.lit("type:"), n))
-    enums_wrong = F.transform(F.filter(names, lambda n: F.coalesce(not_listed(n), F.lit(False))), lambda n: F.concat(F.lit("enum:"), n))
-    found = F.array_sort(F.concat(missing, strange, types_wrong, enums_wrong))
-    return F.when(schema.isNull(), F.array(F.lit("unknown tool"))).when(own.isNull(), F.array(F.lit("malformed"))).otherwise(found)
+    Arguments become rows, a level at a time down to the catalogue's own depth, and are joined with the schema nodes of
+    their tool and path.
+    """
+    nothing = F.array().cast("array<string>")
+    one = "struct<part:string,general:string,value:variant>"
+    own = lambda v: F.from_json(F.when(F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v)), "map<string,variant>")
+
+    def inside(v: Column) -> Column:
+        fields = F.transform(F.map_entries(own(v)), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("part"), F.concat(F.lit("."), e["key"]).alias("general"), e["value"].alias("value")))
+        items = F.transform(F.try_variant_get(v, F.lit("$"), "array<variant>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("part"), F.lit("[]").alias("general"), x.alias("value")))
+        return F.coalesce(fields.cast(f"array<{one}>"), items.cast(f"array<{one}>"))
+
+    level = calls.where("arguments is not null").select(*key, "name", F.lit("").alias("at"), F.lit("$").alias("path"), F.col("arguments").alias("value"))
+    every = level
+    for _ in range(levels):
+        level = level.select(*key, "name", "at", "path", F.explode(inside(F.col("value"))).alias("x")).select(*key, "name", F.concat("at", "x.part").alias("at"), F.concat("path", "x.general").alias("path"), F.col("x.value").alias("value"))
+        every = every.union(level)
+    names = F.coalesce(F.map_keys(own(F.col("value"))), nothing)
+    is_object = F.schema_of_variant("value").startswith("OBJECT")
+    text, list_of = F.try_variant_get("value", F.lit("$"), "string"), F.try_variant_get("value", F.lit("$"), "array<variant>")
+    is_text = F.schema_of_variant("value") == "STRING"
+    number = F.when(fits(F.col("value"), F.lit("number")), F.try_variant_get("value", F.lit("$"), "double"))
+    size = F.when(is_text, F.char_length(text)).otherwise(F.size(list_of))
+    at = F.regexp_replace("at", "^[.]", "")
+    below = lambda n: F.when(at == "", n).otherwise(F.concat(at, F.lit("."), n))
+    said = lambda what, wrong: F.when(F.coalesce(wrong, F.lit(False)), F.array(F.concat(F.lit(what), at))).otherwise(nothing)
+    named = lambda what, some: F.transform(some, lambda n: F.concat(F.lit(what), below(n)))
+    found = F.concat(
+        F.when(is_object, named("missing:", F.array_except(F.coalesce("required", nothing), names))).otherwise(nothing),
+        F.when(F.col("closed"), named("unexpected:", F.array_except(names, "known"))).otherwise(nothing),
+        said("type:", F.col("types").isNotNull() & ~F.exists("types", lambda k: fits(F.col("value"), k))),
+        said("enum:", F.col("enum").isNotNull() & ~F.array_contains("enum", F.to_json("value"))),
+        said("range:", (number < F.col("least")) | (number > F.col("most"))),
+        said("length:", (size < F.col("shortest")) | (size > F.col("longest"))),
+        said("pattern:", is_text & F.col("pattern").isNotNull() & ~F.regexp_like(text, F.col("pattern"))),
+        F.transform("unsupported", lambda k: F.concat(F.lit("unsupported:"), F.when(at == "", k).otherwise(F.concat(at, F.lit(":"), k)))),
+    )
+    # bounded by the catalogue, whose rows stand in the plan
+    known = every.join(F.broadcast(tools), ["name", "path"]).select(*key, found.alias("found")).where(F.size("found") > 0)
+    return known.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("problems"))  # of one call
 
 
 def placed(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, turn, place_turn, place_depth, cyclic) of the turns in edges (conv_id, before, turn), peeled round by round."""
+    """(conv_id, turn, place_turn, place_depth, cyclic) of the turns in edges (conv_id, before, turn), peeled round by round.
+
+    Where all edges of a conversation lead to later turns each message is in its place, however long its chains: such
+    conversations have no rows. Rounds are as many as the longest chain of a conversation that has an edge to an earlier turn.
+    """
+    edges = scratch.keep(edges.join(edges.where("before > turn").select("conv_id").distinct(), "conv_id", "left_semi"), "backward")
     first = edges.select("conv_id", F.col("before").alias("turn")).distinct().join(edges, ["conv_id", "turn"], "left_anti")
     done = scratch.keep(first.select("conv_id", "turn", F.struct(F.col("turn").alias("at"), F.lit(0).alias("depth")).alias("place")), "places0")
     waiting, turn = edges, 0
@@ -119,7 +175,7 @@ def placed(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return done.withColumn("cyclic", F.lit(False)).union(stuck).select("conv_id", "turn", F.col("place.at").alias("place_turn"), F.col("place.depth").alias("place_depth"), "cyclic")
 
 
-def formatted(messages: DataFrame, tools: DataFrame) -> DataFrame:
+def formatted(messages: DataFrame, tools: str = TOOLS) -> DataFrame:
     """One row for each message: conv_id, turn, role, place_turn, place_depth, cyclic, n_calls, n_linked, problems, message."""
     spark = messages.sparkSession
     scratch = Scratch(spark, "chat")
@@ -143,9 +199,15 @@ def formatted(messages: DataFrame, tools: DataFrame) -> DataFrame:
     edges = scratch.keep(pairs.union(waits).where("before is not null and turn is not null and before <> turn").distinct(), "edges")
     places = scratch.keep(placed(edges, scratch), "places")
 
-    schemas = tools.groupBy("name").agg(F.first("schema").alias("schema")).select("name", F.from_json("schema", SCHEMA_FIELDS).alias("schema"))
+    nodes, levels = catalogue(spark, tools)
+    mine = [*key, "no"]
+    wrong = scratch.keep(problems(calls, mine, nodes, levels), "wrong").withColumnsRenamed({k: f"_{k}" for k in mine})
+    tool = nodes.where("path = '$'").select("name", F.lit(True).alias("is_known"))
     state = F.when(F.col("id").isNull() | F.col("arguments").isNull(), "malformed").when(F.col("conv_id").isNull() | F.col("result_at").isNull(), "unanswered").when(order != F.col("call_at"), "duplicate").otherwise("linked")
-    judged = calls.join(links, ["conv_id", "id"], "left").join(schemas, "name", "left").withColumn("state", state).withColumn("problems", problems(F.col("arguments"), F.col("schema")))
+    judged = calls.join(links, ["conv_id", "id"], "left").join(F.broadcast(tool), "name", "left").withColumn("state", state)
+    judged = judged.join(wrong, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in mine], "left")
+    found = F.when(F.col("is_known").isNull(), F.array(F.lit("unknown tool"))).when(~F.schema_of_variant("arguments").startswith("OBJECT") | F.col("arguments").isNull(), F.array(F.lit("malformed"))).otherwise(F.coalesce("problems", F.array().cast("array<string>")))
+    judged = judged.withColumn("problems", found)
     label = F.coalesce("id", F.lit(""))
     per_call = judged.groupBy(*key).agg(
         F.count_if(F.col("state") == "linked").alias("linked_calls"),
@@ -185,7 +247,7 @@ def formatted(messages: DataFrame, tools: DataFrame) -> DataFrame:
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The formatted messages of `conversations`."""
-    return formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"), catalogue(spark))
+    return formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 #: For conversations without tool calls.
@@ -195,3 +257,29 @@ SELECT conv_id, turn, role, turn AS place_turn, 0::INT AS place_depth, false AS
             ELSE json_object('content', coalesce(text, ''), 'role', role)::VARCHAR END AS message
 FROM conversations
 """
+
+
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of `conversations` as tool calls and results, for SQL to follow: results stand before their calls, arguments are wrong now and then."""
+    t = F.col("turn").cast("string")
+    call = F.concat(F.lit('ok <tool_call>{"name":"search","id":"c'), t, F.lit('","arguments":{"query":"q'), t, F.when(F.col("turn") % 4 == 1, F.lit('","limit":"x')).when(F.col("turn") % 4 == 3, F.lit('","depth":"y')).otherwise(F.lit("")), F.lit('"}}</tool_call>'))
+    result = F.concat(F.lit('{"tool_call_id":"c'), (F.col("turn") + 1).cast("string"), F.lit('","content":"r"}'))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    text = F.when(F.col("role") == "assistant", call).when(F.col("role") == "user", result).otherwise(F.lit("plain"))
+    role = F.when(F.col("role") == "user", "tool").otherwise(F.col("role"))
+    return formatted(rows.select("conv_id", "turn", role.alias("role"), text.alias("text")))
+
+
+TOOL_ORACLE = """
+WITH c AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant'), r AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'),
+m AS (SELECT x.conv_id, x.turn, x.role, c.turn IS NOT NULL AS called, r.turn IS NOT NULL AS answered FROM conversations x
+      LEFT JOIN c ON c.conv_id = x.conv_id AND c.turn = x.turn + 1 AND x.role = 'user' LEFT JOIN r ON r.conv_id = x.conv_id AND r.turn = x.turn - 1 AND x.role = 'assistant')
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'tool' ELSE role END AS role, turn + called::BIGINT AS place_turn, called::INT AS place_depth, false AS cyclic,
+       (role = 'assistant')::BIGINT AS n_calls, (called OR answered)::BIGINT AS n_linked,
+       CASE role WHEN 'assistant' THEN array_to_string(list_sort(list_filter([CASE WHEN NOT answered THEN 'c' || turn || ':unanswered' END,
+              CASE turn % 4 WHEN 1 THEN 'c' || turn || ':type:limit' WHEN 3 THEN 'c' || turn || ':unexpected:depth' END], lambda x: x IS NOT NULL)), ',')
+            WHEN 'user' THEN CASE WHEN called THEN '' ELSE 'result:orphan' END ELSE '' END AS problems,
+       CASE role WHEN 'assistant' THEN '{"calls":[{"arguments":{' || CASE turn % 4 WHEN 1 THEN '"limit":"x",' WHEN 3 THEN '"depth":"y",' ELSE '' END || '"query":"q' || turn || '"},"id":"c' || turn || '","name":"search"}],"content":"ok","role":"assistant"}'
+            WHEN 'user' THEN '{"result":"r","role":"tool","tool_call_id":"c' || (turn + 1) || '"}' ELSE '{"content":"plain","role":"' || role || '"}' END AS message
+FROM m
+"""

@@ -7,7 +7,8 @@ LIKELY. All is built from SQL functions. The models are one table of 128 x 128 n
 
 `samples` makes the labelled samples: digests written in several alphabets are the random ones; the words of
 documents that `labels` marks with quality 1 (`BOUND` documents at most, in the order of a hash of doc_id), freed from
-what the patterns match, are the ordinary ones.
+what the patterns match, are the ordinary ones, alone and joined as identifiers and paths are (camel case, underscores,
+hyphens, slashes). What LIKELY makes of samples of neither kind's training is measured by the tests.
 
 Spans count code points, the end is exclusive. Offsets are prefix sums over the pieces between matches, in two levels,
 so that a text with very many matches stays cheap.
@@ -90,7 +91,11 @@ def samples(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int
     for pattern in (ASSIGN, ACCESS, HEX):
         text = F.regexp_replace(text, pattern, " ")
     read = docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == F.col("__id"), "left_semi")  # at most `bound` ids are sent
-    words = read.select(F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))).alias("token")).select("token", F.lit(False).alias("random"))
+    words = read.select(F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))).alias("token"))
+    runs = read.select(F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+(?: [A-Za-z0-9]+){1,3}"), F.lit(0))).alias("token"))
+    joined = [F.replace(F.initcap("token"), F.lit(" "), F.lit("")), *[F.translate("token", " ", x) for x in "_-/"], F.translate(F.upper("token"), " ", "_")]
+    runs = runs.select(F.element_at(F.array(*joined), (F.pmod(F.xxhash64("token"), F.lit(len(joined))) + 1).cast("int")).alias("token"))
+    words = words.union(runs).select("token", F.lit(False).alias("random"))
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
     base64 = F.base64(F.unhex(digest))
     kinds = [digest, F.upper(digest), base64, F.translate(base64, "+/=", "-_"), F.upper(F.translate(base64, "+/=", ""))]
