@@ -16,8 +16,8 @@ def result(id, content):
     return json.dumps({"tool_call_id": id, "content": content})
 
 
-def run(spark, rows, fields=FIELDS):
-    return [r.asDict() for r in chat.formatted(spark.createDataFrame(rows, fields), chat.catalogue(spark)).orderBy("conv_id", "place_turn", "place_depth", "turn").collect()]
+def run(spark, rows, fields=FIELDS, tools=chat.TOOLS):
+    return [r.asDict() for r in chat.formatted(spark.createDataFrame(rows, fields), tools).orderBy("conv_id", "place_turn", "place_depth", "turn").collect()]
 
 
 def test_links_and_canonical_json(spark):
@@ -66,6 +66,52 @@ def test_nulls_repeats_and_extra_columns(spark):
     assert sorted(r["n_linked"] for r in out) == [0, 0, 1, 1, 1]
 
 
+def test_nested_schemas(spark):
+    schema = {
+        "type": "object",
+        "required": ["where"],
+        "properties": {
+            "where": {"type": "object", "required": ["city"], "additionalProperties": False, "properties": {"city": {"type": "string", "minLength": 2, "pattern": "^[A-Z]"}, "floor": {"type": "integer", "minimum": 0, "maximum": 9}}},
+            "tags": {"type": "array", "maxItems": 3, "items": {"type": "object", "properties": {"k": {"enum": ["a", 1, None]}}}},
+            "when": {"type": ["string", "null"]},
+            "odd": {"anyOf": [{"type": "string"}]},
+        },
+    }
+    tools = json.dumps([{"name": "book", "schema": json.dumps(schema)}, {"name": "book", "schema": "{}"}])
+    cases = [
+        ({"where": {"city": "Rome", "floor": 3}, "tags": [{"k": "a"}, {"k": 1}, {"k": None}], "when": None}, ""),
+        ({"where": {"city": "r", "floor": 12, "street": 1}}, "length:where.city,pattern:where.city,range:where.floor,unexpected:where.street"),
+        ({"where": {"floor": 1.5}}, "missing:where.city,type:where.floor"),
+        ({"where": [], "tags": {}}, "type:tags,type:where"),
+        ({"where": {"city": "Rome"}, "tags": [{"k": "b"}, 7, {}, {}]}, "enum:tags[0].k,length:tags,type:tags[1]"),
+        ({"odd": 1}, "missing:where,unsupported:odd:anyOf"),
+        ({}, "missing:where"),
+    ]
+    rows = [row for i, (arguments, _) in enumerate(cases) for row in ((1, 2 * i, "assistant", call(f"c{i}", "book", arguments)), (1, 2 * i + 1, "tool", result(f"c{i}", 1)))]
+    out = {r["turn"]: r["problems"] for r in run(spark, rows, tools=tools)}
+    for i, (_, want) in enumerate(cases):
+        assert out[2 * i] == ",".join(f"c{i}:{p}" for p in want.split(",") if p), i
+    assert {r["turn"]: r["problems"] for r in run(spark, rows[:1], tools="[]")} == {0: "c0:unanswered,c0:unknown tool"}
+
+
+def test_long_chains_in_order_take_no_rounds(spark):
+    n = 300
+    rows = [row for i in range(n) for row in ((1, 2 * i, "assistant", call(f"c{i}", "search", {"query": "x"}, [f"c{i - 1}"] if i else None)), (1, 2 * i + 1, "tool", result(f"c{i}", 1)))]
+    rows += [(2, 0, "tool", result("a", 1)), (2, 1, "assistant", call("a", "search", {"query": "x"}))]
+    out = run(spark, rows)
+    assert [r["turn"] for r in out] == [*range(2 * n), 1, 0] and all(r["n_linked"] == 1 and not r["cyclic"] for r in out)
+
+
+def test_tool_calls_against_sql(spark):
+    d = "/root/testdata/sf0.01"
+    out = chat.chat_tool_calls(spark, d)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet'")
+    want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({chat.TOOL_ORACLE})").fetchall()
+    got = sorted(map(tuple, out.collect()))
+    assert got == sorted(want) and sum(r[6] for r in got) > 100 and any(r[4] for r in got)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
@@ -79,5 +125,6 @@ def test_oracle(spark):
 
 
 def test_native(spark):
-    plan = chat.op6_chat_formatting(spark, "/root/testdata/sf0.001").select(F.count("*"))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    for f in (chat.op6_chat_formatting, chat.chat_tool_calls):
+        plan = f(spark, "/root/testdata/sf0.001").select(F.count("*"))._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -135,3 +135,29 @@ def test_stage_drops_near_copies(spark):
     far = [f"w{i * 37 % 100}" for i in range(100)]
     docs = spark.createDataFrame([(1, " ".join(words), "", ""), (2, " ".join(copy), "", ""), (3, " ".join(far), "", "")], FIELDS)
     assert sorted(r.doc_id for r in near_dedup.one_of_each(spark, docs).collect()) == [1, 3]
+
+
+def test_index_of_an_earlier_session(spark):
+    """The index is files: a new session finds what an earlier one appended, and appends to it."""
+    scratch = Scratch(spark, "t")
+    index = exact_dedup.DigestIndex(spark, "digests_first", scratch.path("index"), 4)
+    first = spark.createDataFrame([(1, "a", "", ""), (2, "b", "", "")], FIELDS)
+    assert all(r.kept for r in exact_dedup.exact_dedup(first, index, scratch).collect())
+    index.forget()
+    other = spark.newSession()
+    assert not other.catalog.tableExists("digests_first")
+    again = exact_dedup.DigestIndex(other, "digests_second", scratch.path("index"), 4)
+    second = other.createDataFrame([(3, "b", "", ""), (4, "c", "", ""), (5, "c", "", "")], FIELDS)
+    out = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(second, again, Scratch(other, "t")).collect()}
+    assert out == {3: (2, False), 4: (5, False), 5: (5, True)}
+    assert sorted(r.keep_id for r in other.table("digests_second").collect()) == [1, 2, 5]
+    again.forget()
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(300_000))
+    rows = [(1, long, "", ""), (2, long + " end", "", ""), (3, "x " * 500_000, "", ""), (3, "x " * 500_000, "", ""), (4, None, "", "")]
+    docs = spark.createDataFrame(rows, FIELDS)
+    out = sorted((r.doc_id, r.component_id) for r in near_dedup.near_dedup(spark, docs).collect())
+    assert out == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 4)]
+    assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_copies(spark, docs).collect()) == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 4)]

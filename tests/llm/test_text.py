@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from pagelathe.llm import decontaminate, pieces, quality, secrets, token_counts, toxicity, wrappers
+from pagelathe.llm import decontaminate, pieces, quality, secrets, token_counts, wrappers
 
 D = "/root/testdata/sf0.001"
 FIELDS = "doc_id long, text string, lang string, found string"
@@ -105,16 +105,6 @@ def _apply(ids, changes):
     return ids
 
 
-def test_quality_and_toxicity(spark):
-    out = quality.op9_quality(spark, D).collect()
-    assert len(out) == 200
-    d = "/root/testdata/sf0.01"
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
-    got = toxicity.op8_toxicity(spark, d).collect()
-    held = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
-    assert all(0 <= r.score <= 1 for r in got) and sum(p == t for p, t in held) >= 0.9 * len(held)
-
-
 def test_quality_bounds_of_small_languages(spark):
     from pagelathe.llm.common import Scratch
 
