@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, is_among, open_folder, sorted_ids, tidy, whole_text
+from .common import Scratch, give_back, is_among, open_folder, sorted_ids, tidy, whole_text
 
 ORDER, QUANTILE, SLACK, DRAW, PRIOR = 5, 0.99, 1.1, 10, 50
-SHARD, HOLD, PORTION = 1_000_000, 4_000_000, 4_000_000  # rows of a shard, rows that a worker keeps, characters scored at once
+SHARD, HOLD, PORTION = 1_000_000, 4_000_000, 2_000_000  # rows of a shard, rows that a worker keeps, characters scored at once
 BEGIN = "\x02"
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -256,7 +256,9 @@ class Model:
                 first[place[::-1]] = np.arange(len(place))[::-1]
                 grams = np.concatenate([g for _, _, g in pieces])[first]
                 ends = np.arange(ORDER - 1, grams.size, ORDER)
-                logs = np.concatenate([self.logs(grams.ravel(), ends[i : i + (1 << 18)]) for i in range(0, len(ends), 1 << 18)]) if not self.bits else self.logs(grams.ravel(), ends)
+                # where a worker can't keep all shards, all grams at once, so that each shard is read once
+                step = 1 << 17 if SHARD << self.bits <= HOLD else len(ends)
+                logs = np.concatenate([self.logs(grams.ravel(), ends[i : i + step]) for i in range(0, len(ends), step)])
                 each, at = [], 0
                 for mine, own, _ in pieces:
                     each.append(logs[place[at : at + len(own)]][mine].astype(np.float64))
@@ -268,6 +270,7 @@ class Model:
             sizes.clear()
             pieces.clear()
             chars = 0
+            give_back()
             return out
 
         def add(text: str) -> None:
@@ -361,7 +364,7 @@ def trusted_ids(labels: DataFrame, scratch: Scratch) -> str:
 
 
 def trusted(facts: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of facts about documents (no texts: they are shuffled) that a label trusts."""
+    """The rows of facts about documents that a label trusts; they are shuffled, so that all documents' texts had better not be among them."""
     known = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__trusted")).distinct()
     return facts.join(known, facts["doc_id"].cast("long") == known["__trusted"], "left_semi")
 
@@ -419,7 +422,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     if not model:
         return docs
     facts = [docs["lang"].cast("string").alias("lang"), model.column().alias("perplexity"), F.length(whole_text()).alias("length")]
-    known = scratch.keep(docs.where(kept_out() & is_trusted).select(*facts), "known")
+    known = scratch.keep(trusted(docs.where(kept_out()), labels).select(*facts), "known")
+    # texts are not shuffled but for the tenth that is kept out
     scored = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *facts)
     languages = trusted(docs.select("doc_id", "lang"), labels).select(F.col("lang").cast("string").alias("lang"))
     return judged(scored, known, languages, scratch).where("keep").select("row.*")
