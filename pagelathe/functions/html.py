@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from time import monotonic
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -52,11 +53,69 @@ def decode_attribute(value: str) -> str:
     return _LEGACY.sub(one, value)
 
 
+class ParseTimeout(Exception):
+    """The budget of a parse is used up; `done` of `size` characters were read."""
+
+    def __init__(self, done: int, size: int):
+        super().__init__(f"parse stopped after {done} of {size} characters")
+        self.done, self.size = done, size
+
+
+class Stack(list):
+    """The stack of open elements, with how many of each tag there are, so that most questions about it need no walk."""
+
+    def __init__(self, rows=()):
+        super().__init__(rows)
+        self.open: dict[str, int] = {}
+        for e in rows:
+            self._add(e)
+
+    def _add(self, e: Element) -> None:
+        self.open[e.tag] = self.open.get(e.tag, 0) + 1
+        e.stacked += 1
+
+    def _take(self, e: Element) -> None:
+        self.open[e.tag] -= 1
+        e.stacked -= 1
+
+    def append(self, e: Element) -> None:
+        self.open[e.tag] = self.open.get(e.tag, 0) + 1
+        e.stacked += 1
+        list.append(self, e)
+
+    def pop(self, at: int = -1) -> Element:
+        e = list.pop(self, at)
+        self.open[e.tag] -= 1
+        e.stacked -= 1
+        return e
+
+    def remove(self, e: Element) -> None:
+        list.remove(self, e)
+        self._take(e)
+
+    def insert(self, at: int, e: Element) -> None:
+        self._add(e)
+        list.insert(self, at, e)
+
+    def __delitem__(self, at) -> None:
+        for e in self[at] if isinstance(at, slice) else [self[at]]:
+            self._take(e)
+        list.__delitem__(self, at)
+
+    def __setitem__(self, at, e) -> None:
+        self._take(self[at])
+        self._add(e)
+        list.__setitem__(self, at, e)
+
+    def __contains__(self, e: Element) -> bool:
+        return e.stacked > 0
+
+
 class Element:
-    __slots__ = ("kind", "tag", "attrs", "kids", "parent", "data")
+    __slots__ = ("kind", "tag", "attrs", "kids", "parent", "data", "stacked")
 
     def __init__(self, kind: str, tag: str = "", attrs=(), data: str = ""):
-        self.kind, self.tag, self.attrs, self.data = kind, tag, list(attrs), data
+        self.kind, self.tag, self.attrs, self.data, self.stacked = kind, tag, list(attrs), data, 0
         self.kids: list[Element] = []
         self.parent: Element | None = None
 
@@ -76,7 +135,7 @@ class Builder:
 
     def __init__(self) -> None:
         self.doc = Element("document")
-        self.stack: list[Element] = []
+        self.stack: Stack = Stack()
         self.active: list[Element | None] = []
         self.html = self.head = self.body = self.form = None
         self.phase = "before"  # before, head, after head, body
@@ -89,6 +148,8 @@ class Builder:
         return self.stack[-1] if self.stack else self.doc
 
     def in_scope(self, *tags: str, more: frozenset = frozenset(), only: frozenset | None = None) -> bool:
+        if not any(map(self.stack.open.get, tags)):
+            return False
         walls = only if only is not None else SCOPE | more
         for e in reversed(self.stack):
             if e.tag in tags:
@@ -110,16 +171,16 @@ class Builder:
             self.imply("p")
             self.pop_to("p")
 
-    def place(self) -> tuple[Element, Element | None]:
-        """Where a node goes: foster parents out of tables."""
-        if self.fostering and self.at.tag in ("table", "tbody", "tfoot", "thead", "tr"):
-            for i in range(len(self.stack) - 1, -1, -1):
+    def place(self, top: int | None = None) -> tuple[Element, Element | None]:
+        """Where a node goes in the top element, or in that at `top`: foster parents out of tables."""
+        if self.fostering and (self.at if top is None else self.stack[top]).tag in ("table", "tbody", "tfoot", "thead", "tr"):
+            for i in range(len(self.stack) - 1 if top is None else top, -1, -1):
                 if self.stack[i].tag == "template":
                     return self.stack[i], None
                 if self.stack[i].tag == "table":
                     table = self.stack[i]
                     return (table.parent, table) if table.parent is not None else (self.stack[i - 1], None)
-        return self.at, None
+        return (self.at if top is None else self.stack[top]), None
 
     fostering = False
 
@@ -204,7 +265,7 @@ class Builder:
             if mine not in self.stack:
                 self.active.remove(mine)
                 return
-            if not any(e is mine for e in self.stack) or not self.in_scope(tag):
+            if not self.in_scope(tag):
                 return
             at = self.stack.index(mine)
             furthest = next((e for e in self.stack[at + 1 :] if e.tag in SPECIAL), None)
@@ -238,9 +299,8 @@ class Builder:
                 last = node
             if common.tag in ("table", "tbody", "tfoot", "thead", "tr"):
                 held, self.fostering = self.fostering, True
-                keep, self.stack = self.stack, self.stack[: self.stack.index(common) + 1]
-                where = self.place()
-                self.stack, self.fostering = keep, held
+                where = self.place(self.stack.index(common))
+                self.fostering = held
             else:
                 where = (common, None)
             _put(where[0], last, where[1])
@@ -273,7 +333,7 @@ class Builder:
             data = data[1:] if data.startswith("\n") else data
             if not data:
                 return
-        if self.phase != "body" and not any(e.tag == "template" for e in self.stack):
+        if self.phase != "body" and not self.stack.open.get("template"):
             rest = data.lstrip(SPACE)
             if self.phase in ("head", "after head") and len(rest) < len(data):
                 self.add_text(data[: len(data) - len(rest)])
@@ -313,7 +373,7 @@ class Builder:
             else:
                 self.more_attrs(self.html, attrs)
             return
-        if self.phase != "body" and not any(e.tag == "template" for e in self.stack):
+        if self.phase != "body" and not self.stack.open.get("template"):
             if tag == "head":
                 if self.head is None:
                     self.need_head(attrs)
@@ -353,7 +413,7 @@ class Builder:
     def in_table(self, tag: str, attrs) -> bool:
         """Whether the start tag was dealt with by the table rules."""
         if tag in TABLE_PARTS:
-            if any(e.tag == "template" for e in self.stack) and not self.in_scope("table", only=frozenset({"template", "html"})):
+            if self.stack.open.get("template") and not self.in_scope("table", only=frozenset({"template", "html"})):
                 self.insert(tag, attrs)
                 if tag == "col":
                     self.stack.pop()
@@ -418,7 +478,7 @@ class Builder:
                 self.active.append(None)
             return
         if tag in ("li", "dd", "dt"):
-            for e in reversed(self.stack):
+            for e in reversed(self.stack) if any(map(self.stack.open.get, ("li",) if tag == "li" else ("dd", "dt"))) else ():
                 if e.tag == tag or (tag != "li" and e.tag in ("dd", "dt")):
                     self.imply(e.tag)
                     self.pop_to(e.tag)
@@ -430,7 +490,7 @@ class Builder:
         if tag in HEADINGS and self.at.tag in HEADINGS:
             self.stack.pop()
         if tag == "form":
-            if self.form is not None and not any(e.tag == "template" for e in self.stack):
+            if self.form is not None and not self.stack.open.get("template"):
                 return
             self.form = self.insert(tag, attrs)
             return
@@ -531,7 +591,7 @@ class Builder:
                 if tag in ("applet", "marquee", "object"):
                     self.forget_to_marker()
         elif tag == "template":
-            if any(e.tag == "template" for e in self.stack):
+            if self.stack.open.get("template"):
                 self.pop_to("template")
                 self.forget_to_marker()
         elif tag == "select":
@@ -543,7 +603,7 @@ class Builder:
 
 def attributes(source: str) -> list[tuple[str, str]]:
     """Names and values in source order; of equal names the first."""
-    if not source or not (source := source.strip(SPACE + "/")):
+    if not source:
         return []
     out: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(source):
@@ -551,13 +611,17 @@ def attributes(source: str) -> list[tuple[str, str]]:
     return list(out.items())
 
 
-def build(html: str) -> Element:
+def build(html: str, seconds: float | None = None) -> Element:
     b = Builder()
+    until = None if seconds is None else monotonic() + seconds
     html = html.replace("\r\n", "\n").replace("\r", "\n")
     if html.startswith("﻿"):
         html = html[1:]
-    at, size = 0, len(html)
+    at, size, turn = 0, len(html), 0
     while at < size:
+        turn += 1
+        if until is not None and not turn & 255 and monotonic() > until:
+            raise ParseTimeout(at, size)
         m = _TOKEN.match(html, at)
         at = m.end()
         text = m["text"]
@@ -680,9 +744,9 @@ def _escape(text: str, attribute: bool = False) -> str:
     return text.replace('"', "&quot;") if attribute else text.replace("<", "&lt;").replace(">", "&gt;")
 
 
-def parse(html: str | None) -> Document:
-    """The document of an HTML text; null counts as empty."""
-    root = build(html or "")
+def parse(html: str | None, seconds: float | None = None) -> Document:
+    """The document of an HTML text; null counts as empty. Raises ParseTimeout after so many seconds."""
+    root = build(html or "", seconds)
     doc = Document()
     todo: list = [(root, -1, 0)]
     while todo:
