@@ -1,7 +1,8 @@
-"""Fields and items, conversions, metadata, forms, search in the manner of Beautiful Soup, and element similarity."""
+"""Fields and items, conversions, metadata, forms, and search in the manner of Beautiful Soup."""
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -200,8 +201,44 @@ class Form(NamedTuple):
     enctype: str
     fields: list[tuple[str, str]]
 
+    def _pairs(self) -> list[tuple[str, str]]:
+        crlf = lambda t: re.sub(r"\r\n|\r|\n", "\r\n", t)
+        return [(crlf(k), crlf(v)) for k, v in self.fields]
+
     def encoded(self) -> str:
-        return urlencode([(k.replace("\r\n", "\n").replace("\n", "\r\n"), v.replace("\r\n", "\n").replace("\n", "\r\n")) for k, v in self.fields])
+        return urlencode(self._pairs())
+
+    def sent(self, boundary: str | None = None) -> tuple[str | None, str | None, bytes | None]:
+        """(URL, content type, body) of the form's request; the boundary of multipart forms is made of their fields if none is given."""
+        if self.method == "get":
+            url = urls.join(None, self.action)
+            return (None if url is None else str(url._replace(query=self.encoded() or None))), None, None
+        if self.enctype == "text/plain":
+            return self.action, "text/plain", "".join(f"{k}={v}\r\n" for k, v in self._pairs()).encode()
+        if self.enctype != "multipart/form-data":
+            return self.action, "application/x-www-form-urlencoded", self.encoded().encode()
+        mark = boundary or "form-" + hashlib.sha256(repr(self.fields).encode()).hexdigest()[:32]
+        quoted = lambda name: name.replace("\r\n", "%0D%0A").replace('"', "%22")
+        parts = "".join(f'--{mark}\r\nContent-Disposition: form-data; name="{quoted(k)}"\r\n\r\n{v}\r\n' for k, v in self._pairs())
+        return self.action, f"multipart/form-data; boundary={mark}", (parts + f"--{mark}--\r\n").encode()
+
+
+def payload(method: str, form=None, data=None, body: bytes | str | None = None) -> dict:
+    """How a request is sent: method, kind (navigate, form or fetch), content_type and body, of at most one of a form, JSON data and a raw body."""
+    if sum(x is not None for x in (form, data, body)) > 1:
+        raise ValueError("a request carries one of form, data and body")
+    method = method.upper()
+    out = {"method": method, "kind": "navigate" if method == "GET" else "fetch", "content_type": None, "body": None}
+    if form is data is body is None:
+        return out
+    if method in ("GET", "HEAD"):
+        raise ValueError(f"a {method} carries no body")
+    if form is not None:
+        pairs = list(form.items()) if hasattr(form, "items") else list(form)
+        return out | {"kind": "form", "content_type": "application/x-www-form-urlencoded", "body": urlencode(pairs, doseq=True).encode()}
+    if data is not None:
+        return out | {"content_type": "application/json", "body": json.dumps(data, separators=(",", ":"), ensure_ascii=False).encode()}
+    return out | {"body": body.encode() if isinstance(body, str) else bytes(body)}
 
 
 def form(doc: Document, url: str | None = None, query: str = "form", number: int = 0, data: dict | None = None, click: str | None = None) -> Form | None:
@@ -333,77 +370,3 @@ def find_all(doc: Document, at: int = 0, name=None, attrs: dict | str | None = N
             if limit and len(out) == limit:
                 break
     return out
-
-
-# element similarity
-
-
-class Print(NamedTuple):
-    """What an element is known by after a redesign."""
-
-    tag: str
-    text: str
-    classes: list[str]
-    id: str
-    names: list[str]
-    path: list[str]
-    siblings: list[str]
-    parent: str
-    preceding: str
-
-
-def _clip(text: str) -> str:
-    return " ".join(text.split())[:120]
-
-
-def print_of(doc: Document, at: int) -> Print:
-    up = [n for n, _ in xpath.axis(doc, (at, 0), "ancestor") if doc.kind[n] == "element"]
-    before = next((doc.data[k] for k in range(at - 1, max(-1, at - 201), -1) if doc.kind[k] == "text" and doc.data[k].strip()), "")
-    same = [doc.tag[k] for k in doc.children(doc.parent[at]) if doc.kind[k] == "element" and k != at][:32]
-    return Print(doc.tag[at], _clip(doc.readable(at)), (doc.attr(at, "class") or "").split(), doc.attr(at, "id") or "", [k for k, _ in doc.attrs[at]], [doc.tag[n] for n in reversed(up)], same, doc.tag[up[0]] if up else "", _clip(before))
-
-
-def edit_ratio(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
-
-
-def lcs_ratio(a: list, b: list) -> float:
-    if not a and not b:
-        return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
-
-
-def jaccard(a, b) -> float:
-    a, b = set(a), set(b)
-    return len(a & b) / len(a | b) if a | b else 1.0
-
-
-def trigrams(text: str) -> set[str]:
-    return {text[i : i + 3] for i in range(max(1, len(text) - 2))} if text else set()
-
-
-def similarity(a: Print, b: Print) -> float:
-    """0 to 1; digits of texts don't count."""
-    shape = lambda t: re.sub(r"[0-9]", "0", t)
-    names = lambda p: [*p.classes, p.id, *p.names]
-    out = 0.45 * edit_ratio(shape(a.text), shape(b.text)) + 0.15 * jaccard(names(a), names(b)) + 0.15 * edit_ratio(a.preceding, b.preceding)
-    out += 0.10 * lcs_ratio(a.path, b.path) + 0.10 * (a.parent == b.parent) + 0.05 * jaccard(a.siblings, b.siblings)
-    return out if a.tag == b.tag else out * 0.95
-
-
-def relocate(known: Print, doc: Document, least: float = 0.75) -> tuple[int, float] | None:
-    """The element most like a known one, the last of equals; None below the least similarity."""
-    best = max(((similarity(known, print_of(doc, i)), i) for i in range(len(doc)) if doc.kind[i] == "element" and doc.tag[i] not in ("html", "head", "body", "script", "style")), default=None)
-    return (best[1], best[0]) if best and best[0] >= least else None

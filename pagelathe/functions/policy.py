@@ -246,19 +246,47 @@ class Signature(NamedTuple):
 
     @property
     def rank(self) -> int:
-        return 0 if self.header or self.server else 1 if self.cookies else 2 if self.body else 3
+        return 0 if self.header else 1 if self.cookies else 2 if self.body else 3
 
 
-#: A small table of our own; callers give theirs.
+#: Pages by which vendors of bot protection block, in the order in which equals in rank are tried.
 SIGNATURES = (
     Signature("cloudflare", "challenge", header=("cf-mitigated", "challenge")),
-    Signature("cloudflare", "challenge", (403, 503), body=("<title>just a moment...</title>",)),
-    Signature("akamai", "denied", (403,), server="akamaighost"),
-    Signature("datadome", "captcha", (403,), header=("x-datadome", "")),
-    Signature("generic", "captcha", (403, 429), body=("g-recaptcha", "h-captcha")),
+    Signature("cloudflare", "challenge", (403, 503), server="cloudflare", body=("<title>Just a moment...</title>", "/cdn-cgi/challenge-platform/")),
+    Signature("cloudflare", "block", (403,), server="cloudflare", body=("Attention Required! | Cloudflare", "Sorry, you have been blocked")),
+    Signature("cloudflare", "rate_limit", (429,), server="cloudflare", body=("error code: 1015",)),
+    Signature("datadome", "captcha", (403, 405), header=("x-datadome", "")),
+    Signature("datadome", "captcha", (403, 405), cookies=("datadome",), body=("captcha-delivery.com",)),
+    Signature("aws-waf", "challenge", header=("x-amzn-waf-action", "challenge")),
+    Signature("aws-waf", "captcha", header=("x-amzn-waf-action", "captcha")),
+    Signature("kasada", "challenge", (429,), header=("x-kpsdk-ct", "")),
+    Signature("imperva", "block", header=("x-iinfo", ""), body=("Incapsula incident ID", "_Incapsula_Resource?CWUDNSAI=")),
+    Signature("imperva", "block", cookies=("visid_incap_", "incap_ses_"), body=("Incapsula incident ID", "_Incapsula_Resource?CWUDNSAI=")),
+    Signature("human", "captcha", (403,), cookies=("_pxhd", "_px3", "_px2"), body=("px-captcha", "Press &amp; Hold", "Press & Hold")),
+    Signature("human", "captcha", (403,), body=('<div id="px-captcha">', "window._pxAppId")),
+    Signature("akamai", "block", (403,), server="AkamaiGHost", body=("Access Denied",)),
 )
 
 
+def read_signatures(text: str) -> tuple[Signature, ...]:
+    """Signatures from TOML: tables `signature` with vendor, kind and the conditions status, header (name, contains), server, cookies, body."""
+    import tomllib
+
+    out = []
+    for row in tomllib.loads(text).get("signature", []):
+        more = row.keys() - {"vendor", "kind", "status", "header", "server", "cookies", "body"}
+        if more or not {"vendor", "kind"} < row.keys():
+            raise ValueError(f"no signature: {row}")
+        head = row.get("header")
+        pair = (head["name"].lower(), head.get("contains", "")) if head else None
+        out.append(Signature(row["vendor"], row["kind"], tuple(row.get("status", ())), pair, row.get("server"), tuple(row.get("cookies", ())), tuple(row.get("body", ()))))
+    return tuple(out)
+
+
+def vendors(signatures: tuple[Signature, ...] = SIGNATURES) -> list[str]:
+    return sorted({s.vendor for s in signatures})
+
+
 class Outcome(NamedTuple):
     outcome: str
     vendor: str | None = None
@@ -294,7 +322,7 @@ def classify(status: int, headers: list, body: bytes | None, now: float = 0.0, s
             (not s.status or status in s.status)
             and (s.header is None or any(k.lower() == s.header[0] and s.header[1].lower() in v.lower() for k, v in headers))
             and (s.server is None or any(k.lower() == "server" and s.server.lower() in v.lower() for k, v in headers))
-            and (not s.cookies or any(k.lower() == "set-cookie" and v.startswith(s.cookies) for k, v in headers))
+            and (not s.cookies or any(k.lower() == "set-cookie" and v.lstrip().startswith(s.cookies) for k, v in headers))
             and (not s.body or any(b.lower() in start for b in s.body))
         )
 

@@ -31,8 +31,16 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"`{f.name}`") for f in plain(df).schema.fields])
 
 
-def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Writes by the path's ending: .jsonl, .jl, .csv or .parquet."""
+def extras(items: DataFrame, fields: list[str]) -> DataFrame:
+    """(key, n): the keys of items (item: JSON text) that are none of fields, and how many rows have each."""
+    keys = items.select(F.explode(F.json_object_keys("item")).alias("key"))
+    return keys.where(~F.col("key").isin(*fields)).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def write(df: DataFrame, path: str, mode: str = "errorifexists", fields: list[str] | None = None) -> None:
+    """Writes by the path's ending: .jsonl, .jl, .csv or .parquet; `fields` are the columns and their order, lacking ones null."""
+    if fields is not None:
+        df = df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields])
     kind = PurePath(path).suffix.lower()
     if kind in (".jsonl", ".jl"):
         plain(df).write.mode(mode).option("ignoreNullFields", "false").json(path)
@@ -60,9 +68,17 @@ def merged(found: list[str]) -> str:
     return known.pop() if len(known) == 1 else "double" if known == {"bigint", "double"} else "string"
 
 
-def typed(items: DataFrame) -> DataFrame:
+def inferred(items: DataFrame, most: int = 10_000) -> list[tuple[str, str]]:
+    """(key, type) of the schema of items, in the order of keys; more than `most` keys are data, not a schema, and an error."""
+    found = kinds(items).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"items have more than {most} keys")
+    return sorted((r["key"], merged(r["kinds"])) for r in found)
+
+
+def typed(items: DataFrame, schema: list[tuple[str, str]] | None = None) -> DataFrame:
     """Items (item: JSON text) as columns of the inferred types; what does not fit is null."""
-    schema = sorted((r["key"], merged(r["kinds"])) for r in kinds(items).collect())  # one row for each key of the schema
+    schema = inferred(items) if schema is None else schema
     v = F.try_parse_json("item")
 
     def one(key: str, kind: str) -> Column:
@@ -75,17 +91,15 @@ def typed(items: DataFrame) -> DataFrame:
     return items.select(*[one(k, kind) for k, kind in schema])
 
 
-def misfits(items: DataFrame) -> DataFrame:
-    """(key, missing, wrong): rows without a key, and rows whose value does not fit its inferred type."""
-    cols = typed(items).columns
-    present = F.from_json("item", "map<string,variant>")
-    out = None
-    both = items.select("item", present.alias("_has"))
-    t = typed(items.select("item"))
-    names = [f for f in t.schema.fields]
-    counts = both.select(*[F.count_if(~F.coalesce(F.map_contains_key("_has", F.lit(c)), F.lit(False))).alias(c) for c in cols])
-    filled = t.select(*[F.count(F.col(f"`{f.name}`")).alias(f.name) for f in names])
-    had = both.select(*[F.count_if(F.coalesce(F.map_contains_key("_has", F.lit(c)), F.lit(False)) & (F.schema_of_variant(F.col("_has")[c]) != "VOID")).alias(c) for c in cols])
-    stack = lambda df, n: df.select(F.expr("stack({}, {}) as (key, {})".format(len(cols), ", ".join(f"'{c}', `{c}`" for c in cols), n)))
-    out = stack(counts, "missing").join(stack(filled, "filled"), "key").join(stack(had, "had"), "key")
-    return out.select("key", "missing", (F.col("had") - F.col("filled")).alias("wrong"))
+def misfits(items: DataFrame, schema: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(key, missing, wrong): rows without a key, and rows whose value does not fit its type; one pass over the rows."""
+    schema = inferred(items) if schema is None else schema
+    has = F.from_json("item", "map<string,variant>")
+    pairs = items.select(F.explode(has).alias("key", "value"))
+    kind = F.create_map(*[F.lit(x) for row in schema for x in row])[F.col("key")] if schema else F.lit(None).cast("string")
+    fits = F.when(kind == "bigint", F.try_variant_get("value", F.lit("$"), "bigint").isNotNull()).when(kind == "double", F.try_variant_get("value", F.lit("$"), "double").isNotNull()).when(kind == "boolean", F.try_variant_get("value", F.lit("$"), "boolean").isNotNull()).otherwise(F.lit(True))
+    wrong = (F.schema_of_variant("value") != "VOID") & ~fits
+    found = pairs.groupBy("key").agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"))
+    known = items.sparkSession.createDataFrame([(k,) for k, _ in schema], "key string")
+    rows = items.count()
+    return known.join(found, "key", "left").select("key", (F.lit(rows) - F.coalesce("n", F.lit(0))).alias("missing"), F.coalesce("wrong", F.lit(0)).alias("wrong"))
