@@ -1,6 +1,6 @@
 import pytest
 
-from pagelathe.functions import css, extract, policy, urls, xpath
+from pagelathe.functions import css, extract, policy, track, urls, xpath
 from pagelathe.functions.html import parse
 
 BODY = "<html><head></head><body>{}</body></html>"
@@ -126,7 +126,7 @@ def test_extract():
     assert extract.microdata(doc) == [{"type": "T", "properties": {"n": "N"}}]
     assert extract.item([extract.Field("k", xpath="//input/@value", into="int"), extract.Field("bad", css="button::text", into="int")], doc) == ({"k": 1, "bad": None}, ["bad"])
     button = extract.find_all(doc, name="button")[0]
-    assert extract.relocate(extract.print_of(doc, button), doc)[0] == button
+    assert track.relocate(track.print_of(doc, button), doc)[0] == button
     assert extract.regex_all("a1b22", r"\d+") == ["1", "22"]
     assert extract.convert("1e2", "float") == 100.0
     for text, kind in (("1.0", "int"), ("5d", "float"), ("maybe", "bool")):
