@@ -9,29 +9,56 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
-def admitted(requests: DataFrame, seen: DataFrame | None = None, allowed: list[str] = (), max_depth: int | None = None, per_host: int | None = None) -> DataFrame:
+def admitted(requests: DataFrame, seen: DataFrame | None = None, allowed: list[str] = (), max_depth: int | None = None, per_host: int | None = None, unfiltered: str | None = None) -> DataFrame:
     """requests (url, depth, seq) with canonical, fp, host, and `reason`: null for those admitted, else the first test that fails.
 
-    The tests in order: invalid, offsite, depth, trap, seen (before or earlier in requests), host cap.
+    The tests in order: invalid, offsite, depth, trap, seen (before or earlier in requests), host cap. `unfiltered` is a
+    boolean column of requests that are spared the tests offsite and seen.
     """
+    spared = F.coalesce(F.col(unfiltered), F.lit(False)) if unfiltered else F.lit(False)
     r = requests.withColumn("canonical", C.canonical(F.col("url")))
-    r = r.withColumn("fp", F.substring(F.sha2(F.concat(F.lit("GET "), F.col("canonical")), 256), 1, 32)).withColumn("host", C.host(F.col("canonical")))
+    r = r.withColumn("fp", F.substring(F.sha2(F.concat(F.lit("GET "), F.col("canonical")), 256), 1, 32)).withColumn("host", C.canonical_host(F.col("canonical")))
     path = F.regexp_extract("canonical", "^[a-z]+://[^/]*([^?#]*)", 1)
     reason = F.when(F.col("canonical").isNull(), "invalid")
-    reason = reason.when(C.offsite(F.coalesce("canonical", F.lit("")), list(allowed)), "offsite") if allowed else reason
+    reason = reason.when(~spared & C.canonical_offsite(F.col("canonical"), list(allowed)), "offsite") if allowed else reason
     reason = reason.when(F.col("depth") > max_depth, "depth") if max_depth is not None else reason
     r = r.withColumn("reason", reason.when(C.repeats(path), "trap"))
     # the first of a fingerprint by a partial aggregate: no window over a hot key
-    firsts = r.where("reason is null").groupBy("fp").agg(F.min("seq").alias("_first"))
+    firsts = r.where(F.col("reason").isNull() & ~spared).groupBy("fp").agg(F.min("seq").alias("_first"))
     if seen is not None:
         firsts = firsts.join(seen.select("fp").distinct(), "fp", "left_anti")
-    r = r.join(firsts, "fp", "left").withColumn("reason", F.when(F.col("reason").isNull() & ~(F.col("seq").eqNullSafe(F.col("_first"))), "seen").otherwise(F.col("reason"))).drop("_first")
+    r = r.join(firsts, "fp", "left").withColumn("reason", F.when(F.col("reason").isNull() & ~spared & ~(F.col("seq").eqNullSafe(F.col("_first"))), "seen").otherwise(F.col("reason"))).drop("_first")
     if per_host is not None:
-        ranked = F.row_number().over(W.partitionBy("host", F.col("reason").isNull()).orderBy("seq"))
-        r = r.withColumn("reason", F.when(F.col("reason").isNull() & (ranked > per_host), "host cap").otherwise(F.col("reason")))
+        # of a hot host each task keeps per_host rows only before they are brought together
+        ranked = r.where("reason is null").select("fp", "seq", F.row_number().over(W.partitionBy("host").orderBy("seq")).alias("_rank"))
+        within = ranked.where(F.col("_rank") <= per_host).select("fp", "seq", F.lit(True).alias("_within"))
+        r = r.join(within, ["fp", "seq"], "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("_within").isNull(), "host cap").otherwise(F.col("reason"))).drop("_within")
     return r
 
 
+def counted(decided: DataFrame, column: str = "reason") -> DataFrame:
+    """(reason, n) of requests or outcomes: the counters of a crawl."""
+    return decided.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def redirected(start: DataFrame, hops: DataFrame, keep, most: int = 20) -> DataFrame:
+    """(url, last, hops, loop) of each URL of start (url): where the redirects (source, target) lead, by at most `most` joins.
+
+    A chain that is longer, or comes back to where it was, ends with `loop`. keep(df, name) writes a table and reads it again.
+    """
+    once = hops.groupBy("source").agg(F.min("target").alias("target"))
+    now = start.select("url", F.col("url").alias("last"), F.lit(0).alias("hops"), F.array("url").alias("path"))
+    done = None
+    for turn in range(most + 1):
+        step = keep(now.join(once, now["last"] == once["source"], "left").drop("source"), f"hops{turn}")
+        ended = step.where("target is null or array_contains(path, target)" if turn < most else "true").select("url", "last", "hops", F.col("target").isNotNull().alias("loop"))
+        done = ended if done is None else done.union(ended)
+        now = step.where("target is not null and not array_contains(path, target)").select("url", F.col("target").alias("last"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("target")).alias("path"))
+        if turn < most and now.isEmpty():
+            break
+    return done
+
+
 def reached(seeds: DataFrame, links: DataFrame, max_depth: int, keep) -> DataFrame:
     """(url, depth): canonical URLs within max_depth links (source, target) of seeds (url), by anti-joins on what is known.
 
