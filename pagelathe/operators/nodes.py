@@ -13,9 +13,30 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
-def nodes(pages: DataFrame) -> DataFrame:
-    """page_id, url, ord, parent, end, depth, kind, tag, attrs, data: one row for each node of pages (page_id, url, html)."""
-    return pages.select("page_id", "url", F.inline(C.nodes(F.col("html"))))
+def nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """page_id, url, ord, parent, end, depth, kind, tag, attrs, data: one row for each node of pages (page_id, url, html), of some tags and kinds alone if given."""
+    return pages.select("page_id", "url", F.inline(C.nodes(F.col("html"), tags, kinds)))
+
+
+def along(nodes: Column, name: str, context, wanted) -> Column:
+    """array<struct<context_ord, position, node>>: an axis within the array of a page's nodes, without a join.
+
+    context and wanted tell by a node (a column) which nodes it starts from and which it leads to.
+    """
+    of = lambda a: {k: a[k] for k in ("ord", "parent", "end")}
+
+    def one(a: Column) -> Column:
+        found = F.filter(nodes, lambda b: _AXES[name](of(a), of(b)) & wanted(b))
+        found = F.reverse(found) if name in REVERSE else found
+        return F.transform(found, lambda b, i: F.struct(a["ord"].alias("context_ord"), (i + 1).alias("position"), b.alias("node")))
+
+    return F.flatten(F.transform(F.filter(nodes, context), one))
+
+
+def lying(nodes: Column, name: str, context, wanted) -> Column:
+    """The nodes of a page's array that lie on an axis of some context node, each once: the CSS combinators without a join."""
+    of = lambda a: {k: a[k] for k in ("ord", "parent", "end")}
+    return F.filter(nodes, lambda b: wanted(b) & F.exists(nodes, lambda a: context(a) & _AXES[name](of(a), of(b))))
 
 
 def attr(name: str) -> Column:

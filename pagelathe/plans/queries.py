@@ -12,7 +12,9 @@ from ..operators import nodes as N
 from ..sources import sinks
 from ..sources.readers import responses, table
 from ..streaming import hosts
-from . import frontier
+from ..operators import tracking
+from ..sources.readers import sitemap_entries
+from . import frontier, rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -101,7 +103,7 @@ def first_last_link(spark, sf_dir):
 @query(f"SELECT page_id, i AS pos, {_HREFS}[i + 1] AS href, CASE WHEN i > 0 THEN {_HREFS}[i] END AS before, {_HREFS}[i + 2] AS after FROM (SELECT *, unnest(range(len({_HREFS}))) AS i FROM pages)")
 def sibling_lead_lag(spark, sf_dir):
     order = W.partitionBy("page_id").orderBy("ord")
-    n = N.elements(N.nodes(pages(spark, sf_dir)), "a").select("page_id", "ord", N.attr("href").alias("href"))
+    n = N.nodes(pages(spark, sf_dir), ("a",)).select("page_id", "ord", N.attr("href").alias("href"))
     return n.select("page_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), "href", F.lag("href").over(order).alias("before"), F.lead("href").over(order).alias("after"))
 
 
@@ -117,14 +119,15 @@ def comments(spark, sf_dir):
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<li>')) AS items, len(regexp_extract_all(html, '<h1>')) AS headings FROM pages")
 def node_counts(spark, sf_dir):
-    n = N.nodes(pages(spark, sf_dir))
+    n = N.nodes(pages(spark, sf_dir), ("html", "li", "h1"))
     return n.groupBy("page_id").agg(F.count_if(F.col("tag") == "li").alias("items"), F.count_if(F.col("tag") == "h1").alias("headings"))
 
 
 @query(f"SELECT page_id, i + 1 AS nth, len({_HREFS}) - i AS nth_last FROM (SELECT *, unnest(range(len({_HREFS}))) AS i FROM pages)")
 def nth_child(spark, sf_dir):
-    """Positions of list items by windows over siblings."""
-    return N.nth_child(N.nodes(pages(spark, sf_dir))).where("tag = 'li'").select("page_id", F.col("nth").cast("long").alias("nth"), F.col("nth_last").cast("long").alias("nth_last"))
+    """Positions of list items among their siblings, counted in the pass that flattens a page."""
+    found = pages(spark, sf_dir).select("page_id", F.inline(C.positions(F.col("html"), ("li",))))
+    return found.select("page_id", F.col("nth").cast("long").alias("nth"), F.col("nth_last").cast("long").alias("nth_last"))
 
 
 @query(f"SELECT page_id, {_HREFS}[2] AS href FROM pages WHERE len({_HREFS}) >= 2")
@@ -134,32 +137,41 @@ def css_nth_child(spark, sf_dir):
 
 @query(f"SELECT page_id, {_HREFS}[i + 1] AS href FROM (SELECT *, unnest(range(len({_HREFS}))) AS i FROM pages)")
 def relational_descendant(spark, sf_dir):
-    """`nav a` as a semi-join on intervals."""
-    n = N.nodes(pages(spark, sf_dir))
-    return N.under(N.elements(n, "a"), N.elements(n, "nav")).select("page_id", N.attr("href").alias("href"))
+    """`nav a` by intervals, page by page: one parse, no shuffle."""
+    n = pages(spark, sf_dir).select("page_id", C.nodes(F.col("html"), ("a", "nav")).alias("n"))
+    return n.select("page_id", F.inline(N.lying(F.col("n"), "descendant", lambda a: a["tag"] == "nav", lambda b: b["tag"] == "a"))).select("page_id", N.attr("href").alias("href"))
 
 
 @query(f"SELECT page_id, {_H1} AS text FROM pages WHERE contains(html, '<h1>')")
 def string_value_join(spark, sf_dir):
-    n = N.nodes(pages(spark, sf_dir))
-    return N.string_values(N.elements(n, "h1"), n).select("page_id", "text")
+    n = pages(spark, sf_dir).select("page_id", C.nodes(F.col("html"), ("h1",), ("text",)).alias("n"))
+    below = N.along(F.col("n"), "descendant", lambda a: a["tag"] == "h1", lambda b: b["kind"] == "text")
+    return n.where(F.exists("n", lambda a: a["tag"] == "h1")).select("page_id", F.array_join(F.transform(below, lambda x: x["node"]["data"]), "").alias("text"))
 
 
-@query()
+_UP = "['li', 'ul', 'nav', 'body', 'html']"
+
+
+@query(f"SELECT page_id, j::BIGINT AS position, {_UP}[j] AS tag FROM (SELECT page_id, unnest(range(len({_HREFS}))) AS i FROM pages), range(1, 6) AS t(j)")
 def axis_positions(spark, sf_dir):
     """Ancestors of links, counted outwards."""
-    n = N.nodes(pages(spark, sf_dir))
-    return N.axis(N.elements(n, "a"), n.where("kind = 'element'"), "ancestor").select("page_id", "context_ord", "position", "tag")
+    n = pages(spark, sf_dir).select("page_id", C.nodes(F.col("html"), (), ("element",)).alias("n"))
+    found = n.select("page_id", F.inline(N.along(F.col("n"), "ancestor", lambda a: a["tag"] == "a", lambda b: F.lit(True))))
+    return found.select("page_id", F.col("position").cast("long").alias("position"), F.col("node.tag").alias("tag"))
+
 
+_PIECES = "string_split_regex(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>|<!--.*?-->', '<x>', 'g'), '<[^>]*>')"
 
-@query()
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform({_PIECES}, lambda x: trim({_PLAIN.format(x='x')})), lambda x: x <> ''), ' ') AS text FROM pages")
 def readable_text(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", C.readable(F.col("html"), " ", True).alias("text"))
 
 
-@query()
+@query("SELECT page_id, regexp_extract(html, '(?s)<nav>.*?</nav>') AS nav FROM pages")
 def outer_html(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.sha2(C.outer(F.col("html")).cast("binary"), 256).alias("sha"))
+    """The HTML of an element, written anew from the tree."""
+    return pages(spark, sf_dir).select("page_id", C.first(C.css(F.col("html"), "nav")).alias("nav"))
 
 
 @query(f"SELECT page_id, len({_HREFS}) AS anchors FROM pages")
@@ -178,10 +190,52 @@ def convert_int(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", C.to_int(F.regexp_extract("url", r"/(\d+)", 1)).alias("number"))
 
 
-@query("SELECT page_id, 'ok' AS outcome, NULL::VARCHAR AS vendor FROM pages")
+#: Responses by page_id % 8: (status, headers, what the body begins with, outcome, vendor, kind, retry_after, price).
+_CASES = [
+    (200, [], "", "ok", None, None, None, None),
+    (403, [("X-DataDome", "1")], "", "blocked", "datadome", "captcha", None, None),
+    (429, [("Retry-After", "7")], "", "throttled", None, None, 7.0, None),
+    (402, [("crawler-price", "USD 0.01")], "", "payment_required", None, None, None, "USD 0.01"),
+    (503, [("Server", "cloudflare")], "<title>Just a moment...</title>", "blocked", "cloudflare", "challenge", None, None),
+    (404, [("Server", "cloudflare")], "<title>Just a moment...</title>", "http_error", None, None, None, None),
+    (200, [("Set-Cookie", "visid_incap_9=x")], "Incapsula incident ID: 1", "blocked", "imperva", "block", None, None),
+    (403, [("server", "AkamaiGHost")], "<h1>Access Denied</h1>", "blocked", "akamai", "block", None, None),
+]
+
+
+def _lit(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x + "'"
+
+
+def _by(key: str, values: list) -> str:
+    """SQL of the value for a number from 0."""
+    return f"CASE {key} " + " ".join(f"WHEN {i} THEN {_lit(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _pick(key, values: list):
+    """The value for a number from 0, as a column."""
+    out = F.lit(None)
+    for i, v in enumerate(values):
+        out = F.when(key == i, v if not isinstance(v, (str, int, float)) else F.lit(v)).otherwise(out)
+    return out
+
+
+@query("SELECT page_id, " + ", ".join(f"({_by('page_id % 8', [c[i] for c in _CASES])})::{kind} AS {name}" for i, name, kind in ((3, "outcome", "VARCHAR"), (4, "vendor", "VARCHAR"), (5, "kind", "VARCHAR"), (6, "retry_after", "DOUBLE"), (7, "price", "VARCHAR"))) + " FROM pages")
 def classify(spark, sf_dir):
-    held = responses(pages(spark, sf_dir).withColumn("url", F.col("page_id").cast("string")))
-    return held.select(F.col("url").cast("long").alias("page_id"), C.classify(F.col("status"), F.col("headers"), F.col("body")).alias("o")).select("page_id", "o.outcome", "o.vendor")
+    no = F.col("page_id") % 8
+    heads = [F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("value")) for k, v in c[1]]) if c[1] else F.array().cast("array<struct<name:string,value:string>>") for c in _CASES]
+    held = pages(spark, sf_dir).select("page_id", _pick(no, [c[0] for c in _CASES]).alias("status"), _pick(no, heads).alias("headers"), F.concat(_pick(no, [c[2] for c in _CASES]), F.col("html")).cast("binary").alias("body"))
+    return held.select("page_id", C.classify(F.col("status"), F.col("headers"), F.col("body")).alias("o")).select("page_id", "o.*")
+
+
+#: Queries by page_id % 8 and what their canonical form is.
+_QUERIES = [("b=2&a=1", "?a=1&b=2"), ("utm_source=x&_ga=1&_gl=2&ttclid=3&li_fat_id=4", ""), ("gclid=1&x", "?x="), ("a=2&a=1&FBCLID=9", "?a=2&a=1"), ("oly_enc_id=5&vero_id=6&gclsrc=7", "?gclsrc=7&oly_enc_id=5&vero_id=6"), ("q=a+b&p=%7E", "?p=%7E&q=a+b"), ("dclid=1&gbraid=1&wbraid=1&msclkid=1&yclid=1&igshid=1&mc_cid=1&mc_eid=1&twclid=1", ""), ("z=%C3%A9&y=a%20b#frag", "?y=a+b&z=%C3%A9")]
+
+
+@query(f"SELECT page_id, 'http://e.com/p/' || page_id || {_by('page_id % 8', [c for _, c in _QUERIES])} AS canonical FROM pages")
+def canonical_queries(spark, sf_dir):
+    url = F.concat(F.lit("HTTP://E.com:80/./p/"), F.col("page_id").cast("string"), F.lit("?"), _pick(F.col("page_id") % 8, [q for q, _ in _QUERIES]))
+    return pages(spark, sf_dir).select("page_id", C.canonical(url).alias("canonical"))
 
 
 _ROBOTS = "User-agent: *\nDisallow: /de/\nAllow: /de/1\nDisallow: /*.html$\n"
@@ -200,17 +254,24 @@ def tdm_reserved(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", C.tdm_reserved(F.lit(rules), F.regexp_extract("url", "^https?://[^/?#]*([^#]*)", 1)).alias("reserved"))
 
 
-@query("SELECT page_id, false AS trap FROM pages")
+_TRAPS = ["", "/x/x/x/x", "/x/x/x", "/a/b/a/b/a/b", "/a/b/a/b", "//c//c/c/c/"]
+
+
+@query("SELECT page_id, page_id % 6 IN (1, 3, 5) AS trap FROM pages")
 def traps(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", C.repeats(F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1)).alias("trap"))
+    path = F.concat(F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1), _pick(F.col("page_id") % 6, _TRAPS))
+    return pages(spark, sf_dir).select("page_id", C.repeats(path).alias("trap"))
+
 
+_PAIRS = "SELECT a.item_id, regexp_replace(a.text, '[^ -~]', '', 'g') AS a, regexp_replace(b.text, '[^ -~]', '', 'g') AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
 
-@query("SELECT a.n_name AS a, b.n_name AS b, CASE WHEN greatest(length(a.n_name), length(b.n_name)) = 0 THEN 1.0 ELSE 1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)) END AS ratio FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+
+@query(f"SELECT item_id, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END AS ratio FROM ({_PAIRS})")
 def edit_ratio(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    a, b = n.alias("a"), n.alias("b")
-    pairs = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey")))
-    return pairs.select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), C.edit_ratio(F.col("a.n_name"), F.col("b.n_name")).alias("ratio"))
+    """Items against the next one, in ASCII: DuckDB's distance counts bytes."""
+    a = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
+    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    return a.join(b, "item_id").select("item_id", C.edit_ratio(F.col("text"), F.col("next")).alias("ratio"))
 
 
 @query("SELECT event_id, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS share FROM events")
@@ -218,13 +279,21 @@ def breaker_window(spark, sf_dir):
     return hosts.blocked_share(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "error").select("event_id", "share")
 
 
-@query()
+_ROWS = "SELECT user_id, event_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events"
+_NEXT = "least(CASE WHEN e.event_type = 'error' THEN greatest(2 * {d}, 0.5) ELSE greatest(({d} + e.value) / 2, 0) END, 60)"
+
+
+@query(f"WITH RECURSIVE e AS ({_ROWS}), f AS (SELECT user_id, event_id, rn, {_NEXT.format(d='0.0::DOUBLE')}::DOUBLE AS d FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, {_NEXT.format(d='f.d')}::DOUBLE FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) SELECT user_id::VARCHAR AS host, event_id AS seq, d AS delay FROM f")
 def throttle_fold(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return hosts.delays(e.select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("seq"), F.col("value").alias("latency"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status")))
 
 
-@query()
+_LAST = "(list_append({l}, e.event_type = 'error'))[-50:]"
+_TRIP = "len({x}) >= 10 AND len(list_filter({x}, lambda b: b)) > 0.3 * len({x})"
+
+
+@query(f"WITH RECURSIVE e AS ({_ROWS}), f AS (SELECT user_id, event_id, rn, [event_type = 'error'] AS l, false AS t FROM e WHERE rn = 1 UNION ALL SELECT user_id, event_id, rn, CASE WHEN {_TRIP.format(x='x')} THEN [] ELSE x END, {_TRIP.format(x='x')} FROM (SELECT e.user_id, e.event_id, e.rn, {_LAST.format(l='f.l')} AS x FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)) SELECT user_id::VARCHAR AS host, event_id AS seq, t AS tripped FROM f")
 def breaker_trips(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return hosts.trips(e.select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("blocked")))
@@ -235,9 +304,21 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("SELECT 'k' AS key, count(*) FILTER (json_extract(props, '$.k') IS NULL) AS missing, 0::BIGINT AS wrong FROM events")
+@query("SELECT 'k' AS key, count(*) FILTER (json_extract(props, '$.k') IS NULL) AS missing, 0::BIGINT AS wrong FROM events UNION ALL SELECT 'v', 0, count(*) FILTER (event_id % 5 = 0) FROM events UNION ALL SELECT 'w', count(*) FILTER (event_id % 7 = 0), count(*) FILTER (event_id % 7 <> 0 AND event_id % 3 <> 0) FROM events UNION ALL SELECT 'x', count(*), 0 FROM events")
 def schema_misfits(spark, sf_dir):
-    return sinks.misfits(table(spark, sf_dir, "events").select(F.col("props").alias("item")))
+    """Items of several keys against a given schema."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    v = F.when(F.col("event_id") % 5 == 0, F.lit('"text"')).otherwise(F.col("event_id").cast("string"))
+    w = F.when(F.col("event_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(',"w":'), F.when(F.col("event_id") % 3 == 0, "true").otherwise("[1]")))
+    items = table(spark, sf_dir, "events").select(F.concat(F.lit('{"v":'), v, w, F.coalesce(F.concat(F.lit(',"k":'), k.cast("string")), F.lit("")), F.lit("}")).alias("item"))
+    return sinks.misfits(items, [("k", "bigint"), ("v", "bigint"), ("w", "boolean"), ("x", "string")])
+
+
+@query("SELECT key, type FROM (VALUES ('k', 'bigint'), ('v', 'string')) t(key, type)")
+def schema_inference(spark, sf_dir):
+    v = F.when(F.col("event_id") % 5 == 0, F.lit('"text"')).otherwise(F.col("event_id").cast("string"))
+    items = table(spark, sf_dir, "events").select(F.concat(F.lit('{"v":'), v, F.lit(',"k":'), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null")), F.lit("}")).alias("item"))
+    return spark.createDataFrame(sinks.inferred(items), "key string, type string")
 
 
 @query(f"SELECT {_HOST} AS host, count(*) AS pages, sum(len({_HREFS}))::BIGINT AS links FROM pages GROUP BY ALL")
@@ -251,11 +332,130 @@ def link_graph_degree(spark, sf_dir):
     return N.links(pages(spark, sf_dir)).groupBy("target").agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, substr(sha256(url || ':0'), 1, 24) AS id FROM pages")
+@query("SELECT page_id, substr(sha256(url || ':' || page_id % 4), 1, 24) AS id FROM pages")
 def item_ids(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", C.item_id(F.col("url"), F.lit(0)).alias("id"))
+    return pages(spark, sf_dir).select("page_id", C.item_id(F.col("url"), F.col("page_id") % 4).alias("id"))
 
 
-@query()
+@query("""SELECT page_id, '{"json_ld": [{"n": ' || page_id || '}], "microdata": [{"type": "http://t/", "properties": {"name": "m' || page_id || '"}}], "opengraph": {"og:title": ["t' || page_id || '", "again"]}, "twitter": {"twitter:card": ["c"]}, "dublin_core": {"dc.date": ["d"]}}' AS metadata FROM pages""")
 def page_metadata(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", C.metadata(F.col("html"), F.col("url")).alias("metadata"))
+    """Metadata that each page is given in its head and body."""
+    n = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<meta property="og:title" content="t'), n, F.lit('"><meta name="twitter:card" content="c"><meta name="DC.date" content="d"><meta property="og:title" content="again"><script type="application/ld+json">{"n": '), n, F.lit("}</script><title>"))
+    body = F.concat(F.lit('<body><div itemscope itemtype="http://t/"><b itemprop="name">m'), n, F.lit("</b></div>"))
+    html = F.replace(F.replace(F.col("html"), F.lit("<title>"), head), F.lit("<body>"), body)
+    return pages(spark, sf_dir).select("page_id", C.metadata(html, F.col("url")).alias("metadata"))
+
+
+# selections
+
+
+@query(f"SELECT page_id, {_HREFS}[2] AS second, {_HREFS}[-2] AS last_but_one, {_HREFS}[2:5:2] AS middle, list_reverse({_HREFS}) AS backwards FROM pages")
+def selection_slices(spark, sf_dir):
+    found = pages(spark, sf_dir).select("page_id", C.below(F.col("html"), "nav", "li", "a::attr(href)").alias("hits"))
+    h = F.col("hits")
+    return found.select("page_id", C.hit(h, 1).alias("second"), C.hit(h, -2).alias("last_but_one"), C.values(C.part(h, 1, 5, 2)).alias("middle"), C.values(C.part(h, step=-1)).alias("backwards"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, regexp_extract_all(html, 'track\\((\\d+)\\)', 1) AS tracks FROM pages")
+def attributes_and_matches(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", C.attributes(F.col("html"), "html")["lang"].alias("lang"), C.regex_all(F.col("html"), r"track\((\d+)\)").alias("tracks"))
+
+
+# rules, gates and queues
+
+_LINKS = f"SELECT page_id, i, regexp_extract(url, '^(https?)', 1) || '://' || {_HOST} || replace(replace(replace(url_encode({_HREFS}[i + 1]), '%2F', '/'), '%2C', ','), '%2E', '.') AS target FROM (SELECT *, unnest(range(len({_HREFS}))) AS i FROM pages)"
+
+
+@query(f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY rule, i) - 1 AS pos, target, rule, CASE rule WHEN 0 THEN 5 ELSE 0 END AS priority, rule = 1 AS follow FROM (SELECT page_id, target, rule, min(i) AS i FROM (SELECT *, CASE WHEN regexp_matches(target, '/[a-m][^/]*$') THEN 0 WHEN NOT regexp_matches(target, 'en$') THEN 1 END AS rule FROM ({_LINKS})) WHERE rule IS NOT NULL GROUP BY page_id, target, rule)")
+def rule_links(spark, sf_dir):
+    """Links under the first of two rules that takes them."""
+    some = [rules.Follow("nav a", allow=("/[a-m][^/]*$",), fields=(Field("t", css="title::text"),), priority=5), rules.Follow("xpath://a/@href", deny=("en$",))]
+    return rules.taken(pages(spark, sf_dir), some).withColumn("pos", F.col("pos").cast("long"))
+
+
+_KINDS = ["text/html; charset=utf-8", "application/pdf", " Application/XHTML+xml"]
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 5 IN (1, 2) THEN 'HTTP ' || ({_by('page_id % 5', [200, 404, 301, 204, 200])}) WHEN page_id % 3 = 1 THEN 'not HTML (application/pdf)' END AS why FROM pages")
+def not_a_page(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", rules.not_a_page(_pick(F.col("page_id") % 5, [200, 404, 301, 204, 200]), _pick(F.col("page_id") % 3, _KINDS)).alias("why"))
+
+
+_ORIGIN = f"regexp_extract(url, '^(https?)', 1) || '://' || {_HOST}"
+
+
+@query(f"SELECT page_id, CASE WHEN k = 3 THEN 'robots' WHEN k = 2 THEN 'robots' WHEN k = 0 AND starts_with(p, '/en/') THEN 'robots' WHEN k < 2 AND starts_with(p, '/fr/') THEN 'tdm' END AS gate FROM (SELECT page_id, length({_ORIGIN}) % 4 AS k, regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS p FROM pages)")
+def origin_gates(spark, sf_dir):
+    """Requests against robots.txt and reservations of their origins: rules, a 404, a 500, and a file that was never fetched."""
+    requests = pages(spark, sf_dir).select("page_id", C.canonical(F.col("url")).alias("url"))
+    origins = requests.select(rules.origin(F.col("url")).alias("origin")).distinct().withColumn("k", F.length("origin") % 4)
+    robots = origins.where("k < 3").select("origin", _pick(F.col("k"), [200, 404, 500]).alias("status"), F.lit("User-agent: *\nDisallow: /en/").alias("text"))
+    tdm = origins.select("origin", F.lit('[{"location": "/fr/", "tdm-reservation": 1}]').alias("text"))
+    return rules.gated(requests, robots, tdm, "anybot").select("page_id", "gate")
+
+
+@query("SELECT url, CASE WHEN kind = 'index' THEN CASE WHEN regexp_matches(url, '/de/') THEN 'sitemap' END WHEN regexp_matches(url, '/en/') THEN 'english' WHEN regexp_matches(url, '\\d$') THEN 'numbered' END AS route FROM (SELECT url, CASE page_id % 3 WHEN 0 THEN 'index' ELSE 'urlset' END AS kind FROM pages) WHERE route IS NOT NULL")
+def sitemap_routes(spark, sf_dir):
+    entries = pages(spark, sf_dir).select(F.when(F.col("page_id") % 3 == 0, "index").otherwise("urlset").alias("kind"), F.col("url").alias("loc"), F.array().cast("array<string>").alias("alternates"))
+    return rules.routed(entries, [("/en/", "english"), (r"\d$", "numbered")], ["/de/"])
+
+
+@query("SELECT page_id, 'urlset' AS kind, 'http://s/' || page_id AS loc, 0.5 AS priority FROM pages")
+def sitemap_files(spark, sf_dir):
+    body = F.concat(F.lit("<?xml version='1.0'?><urlset><url><loc> http://s/"), F.col("page_id").cast("string"), F.lit(" </loc><priority>0.5</priority></url></urlset>")).cast("binary")
+    files = pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("url"), body.alias("body"))
+    return sitemap_entries(files).select(F.col("url").cast("long").alias("page_id"), "kind", "loc", "priority")
+
+
+@query("SELECT event_id, event_type = 'error' AND event_id % 4 < 3 AND event_id % 6 <> 0 AS again, least(pow(2.0, event_id % 4), 5.0) AS most FROM events")
+def retry_plan(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    attempt = F.col("event_id") % 4
+    status = F.when(F.col("event_type") == "error", 503).otherwise(200)
+    method = F.when(F.col("event_id") % 6 == 0, "POST").otherwise("GET")
+    return e.select("event_id", hosts.retryable(status, method, attempt).alias("again"), hosts.backoff(attempt, 1.0, 5.0).alias("most"))
+
+
+@query("SELECT event_id, place FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id) AS place FROM events) WHERE place <= 4")
+def host_queues(spark, sf_dir):
+    """The first four requests of each host's queue."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("host"), (F.col("event_id") % 3).alias("priority"), F.col("event_id").alias("seq"))
+    return hosts.queued(e, 4).select("event_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT page_id, 'a, ' || page_id AS vary, 'c' || page_id AS cookie FROM pages")
+def header_maps(spark, sf_dir):
+    n = F.col("page_id").cast("string")
+    heads = F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in (("Vary", F.lit("a")), ("Set-Cookie", F.lit("b")), ("vary", n), ("set-cookie", F.concat(F.lit("c"), n)))])
+    known = C.header_map(heads)
+    return pages(spark, sf_dir).select("page_id", known["vary"].alias("vary"), known["set-cookie"].alias("cookie"))
+
+
+@query(f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN canon IN (SELECT {_CANON} FROM pages WHERE page_id % 7 = 0) OR row_number() OVER (PARTITION BY canon ORDER BY page_id) > 1 THEN 'seen' END AS reason FROM (SELECT page_id, {_CANON} AS canon FROM pages)) GROUP BY ALL")
+def admission_counts(spark, sf_dir):
+    """How many requests are new, if every seventh page is known from before."""
+    r = pages(spark, sf_dir).select("url", F.lit(0).alias("depth"), F.col("page_id").alias("seq"))
+    seen = r.where(F.col("seq") % 7 == 0).select(C.fingerprint(F.col("url")).alias("fp"))
+    return frontier.counted(frontier.admitted(r, seen))
+
+
+# tracking
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'unknown' ELSE 'matched' END AS state, CASE WHEN page_id % 5 = 0 THEN NULL ELSE {_H1} END AS heading FROM pages")
+def track_states(spark, sf_dir):
+    """A followed query on pages whose site has no fingerprint yet; a fifth of the pages have no heading."""
+    html = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("html", "</?h1>", "")).otherwise(F.col("html"))
+    p = pages(spark, sf_dir).select("page_id", C.host(F.col("url")).alias("site"), html.alias("html"))
+    out = tracking.tracked(p, spark.createDataFrame([], "site string, name string, print string"), "heading", "h1::text")
+    return out.select("page_id", "track.state", F.get("track.values", F.lit(0)).alias("heading"))
+
+
+@query(f"SELECT {_HOST} AS site, count(DISTINCT left(trim(regexp_replace({_H1}, '\\s+', ' ', 'g')), 120)) > 1 AS text_varies FROM pages GROUP BY ALL")
+def track_learning(spark, sf_dir):
+    """What a store has learned of each site's heading from all of its pages."""
+    p = pages(spark, sf_dir).select("page_id", C.host(F.col("url")).alias("site"), "html")
+    store = spark.createDataFrame([], "site string, name string, print string")
+    out = tracking.upserted(store, tracking.tracked(p, store, "heading", "h1::text"), "heading", "page_id")
+    return out.select("site", F.get_json_object("print", "$.text_varies").cast("boolean").alias("text_varies"))
