@@ -35,7 +35,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-LEAST_ASSIGNED, LIKELY, BOUND, RANDOM, SYMBOLS, CHUNK = 6, 9.0, 2000, 20_000, 128, 256
+LEAST_ASSIGNED, LIKELY, BOUND, RANDOM, SYMBOLS, CHUNK = 6, 20.0, 2000, 20_000, 128, 256
 
 SPAN = "array<struct<start:int,end:int,text:string>>"
 

@@ -160,3 +160,34 @@ def test_wrapper_alignment():
     assert [(k.label, k.mark) for k in m.kids] == [("h1", ""), ("h2", "?"), ("p", "+"), ("dl", "?")]
     assert [(k.label, k.mark) for k in m.kids[3].kids] == [("dt", "+"), ("dd", "+")]
     assert m.kids[0].same == "" and wrappers.from_flat(m.flat()).flat() == m.flat()
+
+
+def test_markov_on_samples_of_neither_kind_of_training(spark):
+    """Random tokens of several alphabets against identifiers, paths and prose of Python's own library: recall and precision."""
+    import random
+    import string
+    import sys
+
+    rng = random.Random(3)
+    alphabets = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567", string.digits + "abcdef", string.ascii_letters + string.digits + "-_")
+    secret = ["".join(rng.choice(a) for _ in range(rng.randint(24, 48))) for a in alphabets for _ in range(60)]
+    plain = sorted({n for m in ("builtins", "os", "typing", "subprocess", "socket", "ssl", "asyncio", "unittest.mock", "logging", "email.message", "http.client", "urllib.request", "signal", "errno", "tokenize", "pandas", "pyspark.sql.functions", "pyspark.errors") for n in dir(__import__(m, fromlist=["x"])) if len(n) >= 20})
+    plain += ["/usr/share/common-licenses/readme", "internationalization_and_localization", "averyveryverylongwordindeed", "getElementsByClassNameAndTag", "--experimental-feature-flag", "2024-01-02/reports/quarterly-summary"]
+    assert len(plain) > 60 and sys.version_info
+    table = secrets.train(secrets.samples(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")))
+    docs = spark.createDataFrame([(i, f"see {t} there", "en", "x") for i, t in enumerate(secret + plain)], FIELDS)
+    out = {r.doc_id: any(s.kind == "markov" for s in r.found) for r in secrets.scan(docs, table).collect()}
+    recall = sum(out[i] for i in range(len(secret))) / len(secret)
+    wrong = [t for i, t in enumerate(plain, len(secret)) if out[i]]
+    assert recall >= 0.98 and len(wrong) <= 0.06 * len(plain), (recall, len(wrong), len(plain), wrong[:20])
+
+
+def test_secrets_in_empty_tables_and_long_texts(spark):
+    table = secrets.train(spark.createDataFrame([], "token string, random boolean"))
+    assert len(table) == secrets.SYMBOLS**2 and len(set(table)) == 1
+    none = spark.createDataFrame([], FIELDS)
+    assert secrets.scan(none, table).count() == 0
+    text = "word " * 200_000 + "token = abcdef123 " * 3000 + "é" * 10
+    rows = [(1, text, "en", "x"), (1, text, "en", "x")]
+    out = secrets.scan(spark.createDataFrame(rows, FIELDS), table).collect()
+    assert [",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.found) for r in out] == [brute_spans(text)] * 2
