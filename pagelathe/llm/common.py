@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,16 +57,50 @@ def give_back() -> None:
         trim(0)
 
 
+#: What a worker keeps between tasks, and how to drop each: emptied when the worker has been idle for IDLE seconds.
+KEPT: dict[str, Callable[[], None]] = {}
+IDLE = 2.0
+_RESTING = threading.Lock()
+_timers: list[threading.Timer] = []
+
+
+def _rest(mine: threading.Timer) -> None:
+    with _RESTING:
+        if _timers and _timers[-1] is mine:
+            for drop in KEPT.values():
+                drop()
+            give_back()
+
+
+def _begin() -> None:
+    with _RESTING:
+        while _timers:
+            _timers.pop().cancel()
+
+
+def _end() -> None:
+    give_back()
+    timer = threading.Timer(IDLE, lambda: _rest(timer))
+    timer.daemon = True
+    _timers.append(timer)
+    timer.start()
+
+
 def tidy(run: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
-    """run (over the batches of a task), after which caches are emptied by `forget` and memory is given back."""
+    """run (over the batches of a task), after which `forget` empties caches and memory is given back.
+
+    What is in KEPT stays for a next task that follows soon, and is dropped otherwise, so that no stage pays for what
+    an earlier one has loaded.
+    """
 
     def over(parts: Iterator) -> Iterator:
+        _begin()
         try:
             yield from run(parts)
         finally:
             for f in forget:
                 f()
-            give_back()
+            _end()
 
     return over
 
@@ -177,6 +212,28 @@ def is_among(uri: str, held: int = 2_000_000, ahead: int = 50_000) -> Column:
     return among
 
 
+def over_among(docs: DataFrame, uri: str, run: Callable[[Iterator], Iterator], schema: str, held: int = 2_000_000) -> DataFrame:
+    """docs.mapInPandas(run) for the rows whose doc_id (long) is in the sorted table at uri; one Python worker a task if it has at most `held` ids."""
+    if docs.sparkSession.read.schema("id long").parquet(uri).count() > held:
+        return docs.where(is_among(uri, held)("doc_id")).mapInPandas(tidy(run), schema)
+
+    def some(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.dataset as ds
+
+        system, path = open_folder(uri)
+        table = ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False)
+        ids = np.sort(table.to_table(columns=["id"]).column(0).to_numpy()) if "id" in table.schema.names else np.empty(0, np.int64)
+        for part in parts:
+            known = part["doc_id"].notna().to_numpy()
+            want = part["doc_id"].to_numpy(np.int64, na_value=0) if known.all() else part["doc_id"].fillna(0).to_numpy(np.int64)
+            if len(ids):
+                found = known & (ids[np.minimum(np.searchsorted(ids, want), len(ids) - 1)] == want)
+                if found.any():
+                    yield part[found]
+
+    return docs.mapInPandas(tidy(lambda parts: run(some(parts))), schema)
+
+
 def runs_equal(key: np.ndarray):
     """Pairs of positions with equal key in a sorted array, lag by lag."""
     at = np.arange(len(key) - 1)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, is_among, open_folder, runs_equal, slices, sorted_ids, tidy, whole_text
+from .common import Scratch, open_folder, over_among, runs_equal, slices, sorted_ids, tidy, whole_text
 from .decontaminate import shingles
 from .words import word_hashes
 
@@ -409,7 +409,7 @@ def verified(found: DataFrame, texts: DataFrame, scratch: Scratch, name: str) ->
     """Those of the pairs (a, b) whose texts (doc_id, text) are alike."""
     found = scratch.keep(found.distinct(), f"{name}_pairs")
     ids = sorted_ids(found.select(F.explode(F.array("a", "b")).alias("id")), scratch, f"{name}_ids")
-    some = scratch.keep(texts.where(is_among(ids)("doc_id")).mapInPandas(tidy(packed_sets), "doc_id long, set binary"), f"{name}_sets")
+    some = scratch.keep(over_among(texts, ids, packed_sets, "doc_id long, set binary"), f"{name}_sets")
     both = found.join(some.select(F.col("doc_id").alias("a"), F.col("set").alias("a_set")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("set").alias("b_set")), "b")
     out = scratch.keep(both.where(alike_sets("a_set", "b_set")).select("a", "b").distinct(), f"{name}_links")
     scratch.drop(f"{name}_sets")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches, tidy, whole_text
+from .common import KEPT, slices, small_batches, tidy, whole_text
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START, BEST, LONG = "▁", 4, 64
@@ -336,6 +336,7 @@ class Vocabulary:
 
 
 _LOADED: dict[str, Vocabulary] = {}
+KEPT["vocabularies"] = _LOADED.clear
 
 
 def vocabulary(path: str) -> Vocabulary:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, give_back, is_among, open_folder, sorted_ids, tidy, whole_text
+from .common import Scratch, give_back, open_folder, over_among, sorted_ids, tidy, whole_text
 
 ORDER, QUANTILE, SLACK, DRAW, PRIOR = 5, 0.99, 1.1, 10, 50
 SHARD, HOLD, PORTION = 1_000_000, 4_000_000, 2_000_000  # rows of a shard, rows that a worker keeps, characters scored at once
@@ -316,9 +316,10 @@ def discounts(counts: dict[int, int]) -> list[float]:
     return out
 
 
-def train(texts: DataFrame, scratch: Scratch, shard: int = SHARD) -> Model | None:
-    """The model of the texts (text), or None if they hold no character."""
-    grams = scratch.keep(texts.mapInPandas(tidy(count_grams), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), f"grams{ORDER}")
+def train(texts: DataFrame, scratch: Scratch, shard: int = SHARD, among: str | None = None) -> Model | None:
+    """The model of the texts (text), or of those of texts (doc_id, text) whose id is in the table `among`; None if they hold no character."""
+    counted = over_among(texts, among, count_grams, "gram string, n long") if among else texts.mapInPandas(tidy(count_grams), "gram string, n long")
+    grams = scratch.keep(counted.groupBy("gram").agg(F.sum("n").alias("n")), f"grams{ORDER}")
     tables = {ORDER: grams}
     for k in range(ORDER - 1, 0, -1):
         tables[k] = scratch.keep(tables[k + 1].groupBy(_suffix(k).alias("gram")).agg(F.count("*").alias("n")), f"grams{k}")
@@ -404,7 +405,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFram
     """doc_id, lang, perplexity, threshold, keep for every row of docs."""
     scratch = Scratch(spark, "quality")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), whole_text().alias("text"))
-    model = train(read.where(~kept_out() & is_among(trusted_ids(labels, scratch))("doc_id")).select("text"), scratch)
+    model = train(read.where(~kept_out()).select("doc_id", "text"), scratch, among=trusted_ids(labels, scratch))
     score = model.column() if model else F.lit(None).cast("double")
     scored = scratch.keep(read.select("doc_id", "lang", score.alias("perplexity"), F.length("text").alias("length")), "scores")
     return judged(scored, trusted(scored.where(kept_out()), labels), trusted(scored, labels).select("lang"), scratch).select("doc_id", "lang", "perplexity", "threshold", "keep")
@@ -417,8 +418,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_poor(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that `quality` rejects. Texts of all documents are not shuffled: those that set the bounds are scored twice."""
     scratch = Scratch(spark, "quality")
-    is_trusted = is_among(trusted_ids(labels, scratch))(F.col("doc_id").cast("long"))
-    model = train(docs.where(~kept_out() & is_trusted).select(whole_text().alias("text")), scratch)
+    rest = docs.where(~kept_out()).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    model = train(rest, scratch, among=trusted_ids(labels, scratch))
     if not model:
         return docs
     facts = [docs["lang"].cast("string").alias("lang"), model.column().alias("perplexity"), F.length(whole_text()).alias("length")]

@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, open_folder, whole_text
+from .common import KEPT, Scratch, open_folder, tidy, whole_text
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END, BLOCK, SPAN = 50256, 1 << 20, 1024
 _ENCODINGS: dict = {}
+KEPT["encodings"] = _ENCODINGS.clear
 
 
 def encoding(path: str):
@@ -62,7 +63,7 @@ def write_flat(docs: DataFrame, folder: str, scratch: Scratch, vocabulary: str =
                 at += len(part)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return scratch.keep(rows.mapInPandas(run, "file string, ordinal long, doc_id long"), "manifest")
+    return scratch.keep(rows.mapInPandas(tidy(run), "file string, ordinal long, doc_id long"), "manifest")
 
 
 def separators(folder: str, end: int, block: int):

@@ -8,12 +8,22 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import KEPT
+
 _P = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 18
 _TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _forget() -> None:
+    _TABLES.clear()
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+KEPT["words"] = _forget
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
