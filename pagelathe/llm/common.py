@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; only where it is unset (tests on one machine) a temporary one."""
     name = spark.conf.get("spark.checkpoint.dir", None)
-    if not name and not spark.sparkContext.master.startswith("local["):
+    if not name and not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not name:
         name = "file://" + tempfile.mkdtemp(prefix="pagelathe-")
