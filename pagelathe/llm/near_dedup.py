@@ -14,15 +14,19 @@ shingle are one shingle. Rows without doc_id get a fingerprint and, alone in the
 otherwise the component of their fingerprint. Repeated rows are each reported. Other columns are ignored.
 
 The pipeline's stage, `one_of_each`, has figures of its own: two texts are linked exactly if their sets of five-word
-shingles have a Jaccard similarity of 0.8. At that radius blocks of bits no longer tell fingerprints apart, so it is
-shingles that candidates meet by. In any one order of all shingles, two such sets share one of their first
-n - ceil(0.8 n) + 1, and these prefixes, with the shingles that are rare in a sample first, are what a text is dealt out by;
-the sample changes how many meet, never what is found. Those that meet can only be that similar if enough of both is left
-from the first shingle that they share on, and are compared by a SimHash of 128 bits with a
-radius of 48, which is 5 standard deviations beyond what 0.8 makes of sets of any size, and what is left is verified on
-the sets. Where more than `crowd` texts have a least shingle in common, they are first compared with the CENTRES of them
-whose SimHash is nearest to that of the crowd, also verified; texts of one component are not compared again, so that a
-large group of near copies costs CENTRES comparisons for each and not one for each pair.
+shingles have a Jaccard similarity of 0.8. Their candidates come by the method above first: the fingerprints of the sets
+that lie within `radius` bits are found by their blocks, and the links of each bucket are verified on the sets. About 10
+of 64 bits differ at a similarity of 0.8, and at a radius that covers this a block would have three bits or fewer and
+tell no fingerprints apart (several together, that do, are millions of choices), so there is an exact way for the rest, by
+shingles. In any one order of all shingles, two such sets share one of their first n - ceil(0.8 n) + 1, and these prefixes,
+with the shingles that are rare in a sample first, are what a text is dealt out by; the sample changes how many meet, never
+what is found. Those that meet can only be that similar if enough of both is left from the first shingle that they share
+on, and are compared by a SimHash of 128 bits with a radius of 48, which is 5 standard deviations beyond what 0.8 makes
+of sets of any size, and what is left is verified on the sets. So it doesn't matter that a bucket's links are a forest,
+of which one may fail where a pair left out of it would not. Where more than `crowd` texts have a least shingle in
+common, they are first compared with the CENTRES of them whose SimHash is nearest to that of the crowd, also verified;
+texts of one component are not compared again, so that a large group of near copies costs CENTRES comparisons for each
+and not one for each pair.
 """
 
 from __future__ import annotations
@@ -408,6 +412,8 @@ def meeting(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def verified(found: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs (a, b) whose texts (doc_id, text) are alike."""
     found = scratch.keep(found.distinct(), f"{name}_pairs")
+    if found.isEmpty():
+        return found
     ids = sorted_ids(found.select(F.explode(F.array("a", "b")).alias("id")), scratch, f"{name}_ids")
     some = scratch.keep(over_among(texts, ids, packed_sets, "doc_id long, set binary"), f"{name}_sets")
     both = found.join(some.select(F.col("doc_id").alias("a"), F.col("set").alias("a_set")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("set").alias("b_set")), "b")
@@ -416,6 +422,14 @@ def verified(found: DataFrame, texts: DataFrame, scratch: Scratch, name: str) ->
     return out
 
 
+def by_blocks(spark: SparkSession, firsts: DataFrame, blocks: int | None = None, limit: int = 2048) -> DataFrame:
+    """Pairs (a, b) of rows (rep, first) that join all whose fingerprints `first` are linked within RADIUS bits, to be verified."""
+    scratch = Scratch(spark, "blocks")
+    prints = scratch.keep(firsts.groupBy(F.col("first").alias("fp")).agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "prints")
+    equal = firsts.join(prints.where("rep <> other").select(F.col("fp").alias("first"), F.col("rep").alias("b")), "first").where("rep <> b")
+    return links(spark, prints.select("fp", "rep"), scratch, blocks, limit).union(equal.select(F.col("rep").alias("a"), "b"))
+
+
 def central(crowds: DataFrame, scratch: Scratch) -> DataFrame:
     """(no, key, b): of each crowd of rows (no, key, rep, first, second), the CENTRES whose fingerprints are nearest to the majority of its bits."""
     sums = [F.sum(F.getbit(x, F.lit(i))).alias(f"{x}{i}") for x in ("first", "second") for i in range(64)]
@@ -445,17 +459,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, crowd: int = 64) -> DataFr
     # arrays are left where they are: what is moved is the rows that are not their set's first
     twice = scratch.keep(sets.select("doc_id", *same).join(distinct.where("rep <> other"), same).where("doc_id <> rep").select("doc_id", *same).distinct(), "twice")
     firsts = sets.join(twice, ["doc_id", *same], "left_anti").withColumnRenamed("doc_id", "rep")
-    edges, owner = None, None
+    met, owner = by_blocks(spark, firsts.select("rep", "first")), None
     stars = firsts.select("rep", "first", "second", F.posexplode("least").alias("no", "key"))
     crowded = scratch.keep(stars.groupBy("no", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).drop("n"), "crowded")
     if not crowded.isEmpty():
         crowds = scratch.keep(stars.join(crowded, ["no", "key"]), "crowds")
-        met = crowds.join(central(crowds, scratch), ["no", "key"]).where("rep <> b").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b"))
-        edges = verified(met, texts, scratch, "stars")
-        if edges.isEmpty():
-            edges = None
-        else:
-            owner = scratch.keep(components(edges, scratch).select(F.col("node").alias("rep"), "component"), "known")
+        close = crowds.join(central(crowds, scratch), ["no", "key"]).where("rep <> b")
+        met = met.union(close.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")))
+    edges = verified(met, texts, scratch, "near")
+    if not edges.isEmpty():
+        owner = scratch.keep(components(edges, scratch).select(F.col("node").alias("rep"), "component"), "known")
     by_key = Window.partitionBy("key")
     dealt = firsts.select(F.posexplode("prefix").alias("at", "key"), "rep")
     shared = scratch.keep(dealt.withColumns({"low": F.min("rep").over(by_key), "high": F.max("rep").over(by_key)}).where("low <> high").select("key", "rep", "at").distinct(), "shared")
@@ -464,8 +477,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, crowd: int = 64) -> DataFr
     full = shared.join(facts, "rep").select("key", "rep", "component", "n", (F.col("n") - F.col("at")).alias("rest"), "first", "second")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = full.repartition(n, "key").sortWithinPartitions("key").mapInPandas(tidy(meeting), "a long, b long")
-    met = verified(pairs, texts, scratch, "met")
-    edges = met if edges is None else edges.union(met)
+    edges = edges.union(verified(pairs, texts, scratch, "rest"))
     if edges.isEmpty():
         owners = distinct.select(*same, F.col("rep").alias("component_id"))
     else:

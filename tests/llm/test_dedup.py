@@ -137,6 +137,34 @@ def test_stage_drops_near_copies(spark):
     assert sorted(r.doc_id for r in near_dedup.one_of_each(spark, docs).collect()) == [1, 3]
 
 
+def test_stage_links_fingerprints_by_blocks(spark, monkeypatch):
+    """The stage's candidates come by blocks of SimHashes first; its links are those of all pairs within the radius."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = {}
+    for i in range(0, 90, 3):
+        base = list(rng.choice(words, 250))
+        texts |= {i: " ".join(base), i + 1: " ".join([*base, "end"]), i + 2: " ".join(["begin", "here", *base])}
+    sets = dict(zip(texts, near_dedup.shingle_sets(list(texts.values()))))
+    prints = {i: int(near_dedup.wide_print(s)[0]) for i, s in sets.items()}
+    prints[90] = prints[0]
+    firsts = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in prints.items()], "rep long, first long")
+    owner = {i: i for i in prints}
+    for _ in range(3):
+        for a, b in combinations(prints, 2):
+            if (prints[a] ^ prints[b]).bit_count() <= near_dedup.RADIUS:
+                owner[a] = owner[b] = min(owner[a], owner[b])
+    scratch = Scratch(spark, "t")
+    for limit in (2048, 1):
+        found = near_dedup.components(near_dedup.by_blocks(spark, firsts, limit=limit), scratch).collect()
+        assert {r.node: r.component for r in found if r.node != r.component} == {i: c for i, c in owner.items() if i != c} and len(found) > 20
+    met, own = [], near_dedup.by_blocks
+    monkeypatch.setattr(near_dedup, "by_blocks", lambda *a, **k: met.append(own(*a, **k)) or met[-1])
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in texts.items()], FIELDS)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_copies(spark, docs).collect()} == brute_near_copies(texts)
+    assert len(met) == 1 and met[0].count() > 10
+
+
 def test_index_of_an_earlier_session(spark):
     """The index is files: a new session finds what an earlier one appended, and appends to it."""
     scratch = Scratch(spark, "t")
