@@ -61,6 +61,14 @@ def problem(html: Column, *queries: str, seconds: float = BUDGET) -> Column:
     return _each("string", why, html)
 
 
+def terminated(html: Column) -> Column:
+    """html in which a character reference counts only with its semicolon: other ampersands are escaped, those of scripts and styles too.
+
+    The parser follows the standard and reads `&amp` without one as well, as where a text was cut off.
+    """
+    return F.regexp_replace(html, "&(?!(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);)", "&amp;")
+
+
 def _hits(hits: list) -> list[dict]:
     return [h._asdict() for h in hits]
 
