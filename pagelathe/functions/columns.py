@@ -92,7 +92,8 @@ def values(hits: Column) -> Column:
 
 
 def first(hits: Column, default: str | None = None) -> Column:
-    return F.coalesce(F.get(values(hits), F.lit(0)), F.lit(default))
+    """The first value of a selection, `default` of an empty one; null where there is no page or the query failed."""
+    return F.when(hits.isNotNull(), F.coalesce(F.get(values(hits), F.lit(0)), F.lit(default)))
 
 
 def queries(html: Column, **wanted: str) -> Column:
