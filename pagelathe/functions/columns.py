@@ -1,7 +1,7 @@
 """Column functions: kernels as vectorised functions over Arrow batches, and SQL expressions where those suffice.
 
-A page is parsed for BUDGET seconds at most. A page that takes longer, or on which a query fails, gives null, and
-`problem` says why. Spark bounds the batches by rows and by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
+A page is parsed to its end, however long that takes. A page on which a query fails gives null, and `problem` says
+why. Spark bounds the batches by rows and by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from . import urls as _urls
 from . import xpath as _xpath
 from .html import Document, ParseTimeout, parse
 
-BUDGET = 10.0
-
 HIT = "array<struct<ord:int,value:string,is_node:boolean>>"
 NODE = "array<struct<ord:int,parent:int,end:int,depth:int,kind:string,tag:string,attrs:array<struct<name:string,value:string>>,data:string>>"
 
@@ -40,13 +38,13 @@ def _per_page(kind: str, one, *columns: Column) -> Column:
 
 def _tried(one, html: str | None):
     try:
-        return None if html is None else one(parse(html, BUDGET))
-    except (ParseTimeout, _xpath.XPathError):
+        return None if html is None else one(parse(html))
+    except _xpath.XPathError:
         return None
 
 
-def problem(html: Column, *queries: str, seconds: float = BUDGET) -> Column:
-    """Why a page gives null: its parse took too long, or one of the queries fails on it; null if neither."""
+def problem(html: Column, *queries: str, seconds: float | None = None) -> Column:
+    """Why a page gives null: one of the queries fails on it; or that its parse takes more than so many seconds, if given. Null if neither."""
 
     def why(text: str | None) -> str | None:
         try:

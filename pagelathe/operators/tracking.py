@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import track as T
-from ..functions.columns import BUDGET
-from ..functions.html import ParseTimeout, parse
+from ..functions.html import parse
 from ..functions.xpath import XPathError
 
 RUN = "struct<state:string,score:double,values:array<string>,print:string>"
@@ -25,7 +24,7 @@ def fingerprint(html: Column, query: str) -> Column:
 
 
 def run(html: Column, known: Column, tracker: T.Tracker, least: float = T.THRESHOLD) -> Column:
-    """RUN of a tracked query on pages, with the fingerprints (JSON or null) known before; null where a page can't be read."""
+    """RUN of a tracked query on pages, with the fingerprints (JSON or null) known before; null without a page, and where the query finds something else than elements."""
 
     @F.pandas_udf(RUN)
     def over(htmls: pd.Series, prints: pd.Series) -> pd.DataFrame:
@@ -34,9 +33,9 @@ def run(html: Column, known: Column, tracker: T.Tracker, least: float = T.THRESH
             try:
                 if html is None:
                     raise XPathError("no page")
-                state, score, values, now = tracker.run(parse(html, BUDGET), T.from_json(text), least)
+                state, score, values, now = tracker.run(parse(html), T.from_json(text), least)
                 rows.append((state, score, values, now and now.to_json()))
-            except (ParseTimeout, XPathError):
+            except XPathError:
                 rows.append((None, None, None, None))
         return pd.DataFrame(rows, columns=["state", "score", "values", "print"]).astype({"score": "float64"})
 

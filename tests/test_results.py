@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from pagelathe.functions import columns as C
+from pagelathe.functions import css
+from pagelathe.functions import html as H
 from pagelathe.plans.queries import ORACLES, QUERIES
 
 from pyspark.sql import functions as F
@@ -45,3 +47,20 @@ def test_references_without_semicolon_in_headings(spark, cut, name):
 def test_terminated(spark):
     rows = spark.createDataFrame([("a&amp",), ("a&amp;b&#39;c&#x27;d&#39 &x y&&lt;",), (None,)], "h string")
     assert [r[0] for r in rows.select(C.terminated(F.col("h"))).collect()] == ["a&amp;amp", "a&amp;b&#39;c&#x27;d&amp;#39 &amp;x y&amp;&lt;", None]
+
+
+def test_a_slow_page_is_read_to_its_end(monkeypatch):
+    clock = iter(range(0, 10**9, 1000))
+    monkeypatch.setattr(H, "monotonic", lambda: next(clock))
+    page = "<title>t</title>" + "<p>x" * 1000
+    assert C._tried(lambda d: [h.value for h in css.select(d, "title::text")], page) == ["t"]
+
+
+def test_lone_brackets_are_one_text():
+    assert [d.data[i] for d in [H.parse("<p>a < b <1 << c<b>d<")] for i in range(len(d)) if d.kind[i] == "text"] == ["a < b <1 << c", "d<"]
+
+
+def test_a_failure_is_no_result(spark):
+    rows = spark.createDataFrame([("<p>1",), (None,)], "h string")
+    out = rows.select(C.first(C.xpath(F.col("h"), "count(1)"), "").alias("failed"), C.first(C.css(F.col("h"), "title::text"), "").alias("title")).collect()
+    assert [tuple(r) for r in out] == [(None, ""), (None, None)]
