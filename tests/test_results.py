@@ -54,6 +54,7 @@ def test_a_slow_page_is_read_to_its_end(monkeypatch):
     monkeypatch.setattr(H, "monotonic", lambda: next(clock))
     page = "<title>t</title>" + "<p>x" * 1000
     assert C._tried(lambda d: [h.value for h in css.select(d, "title::text")], page) == ["t"]
+    assert C._tried(lambda d: d.readable(0), page) == "t" + "x" * 1000
 
 
 def test_lone_brackets_are_one_text():
