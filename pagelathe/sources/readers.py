@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(spark: SparkSession, megabytes: int = 4) -> None:
+    """Has Spark hand at most so many bytes (and a row) at once to a Python worker, which holds them and what it makes of them, whatever the table's size.
+
+    This is a setting of the session; one that is lower already stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark.conf.get(name).strip().lower().removesuffix("b")
+    if not known.isdigit() or not 0 < int(known) <= megabytes << 20:
+        spark.conf.set(name, str(megabytes << 20))
+
+
 def responses(pages: DataFrame) -> DataFrame:
     """Pages as responses: url, status, version, headers, body."""
     headers = F.array(F.struct(F.lit("content-type").alias("name"), F.lit("text/html; charset=utf-8").alias("value")))
